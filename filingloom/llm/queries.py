@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import canonical, pieces, sitelines
+from filingloom.llm import canonical, pieces, sitelines, tokenizer
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -55,7 +55,16 @@ def p5_pages(spark: SparkSession, sf: str) -> DataFrame:
     return sitelines.without_lines(_read(spark, sf, "doc_pages"), p5_found(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages)}
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenizer.encode(_read(spark, sf, "documents"), "doc_id", "text", f"{tokenizer.TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
+
+
+def p6_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text as its ids give it back."""
+    return tokenizer.decode(p6_ids(spark, sf), "doc_id", "ids", f"{tokenizer.TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p6_decoded)}
 
 _P4 = " UNION ALL ".join(
     f"SELECT DISTINCT '{t}' AS tbl, {k} AS row_key FROM {t} WHERE length(content) // 4 > 512"
@@ -64,6 +73,7 @@ _P4 = " UNION ALL ".join(
 
 SQL = {
     "p4_found": _P4,
+    "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
 
 
