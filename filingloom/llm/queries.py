@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import canonical, pieces, sitelines, tokenizer
+from filingloom.llm import canonical, leaks, pieces, sitelines, tokenizer
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -64,7 +64,16 @@ def p6_decoded(spark: SparkSession, sf: str) -> DataFrame:
     return tokenizer.decode(p6_ids(spark, sf), "doc_id", "ids", f"{tokenizer.TOKENIZER_DIR}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p6_decoded)}
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaks(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+
+
+def p7_reparameterised(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that repeat an item's template with other values, put in consistently."""
+    return leaks.reparameterised(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p6_decoded, p7_found, p7_reparameterised)}
 
 _P4 = " UNION ALL ".join(
     f"SELECT DISTINCT '{t}' AS tbl, {k} AS row_key FROM {t} WHERE length(content) // 4 > 512"
