@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import canonical, leaks, pieces, sentences, sitelines, tokenizer
+from filingloom.llm import canonical, leaks, neighbours, pieces, sentences, sitelines, tokenizer
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -77,7 +77,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return sentences.split_sentences(_read(spark, sf, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p6_decoded, p7_found, p7_reparameterised, p8_found)}
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = neighbours.similar_pairs(_read(spark, sf, "chunks"), "chunk_id", "vector")
+    return pairs.select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p6_decoded, p7_found, p7_reparameterised, p8_found)}
 
 _P4 = " UNION ALL ".join(
     f"SELECT DISTINCT '{t}' AS tbl, {k} AS row_key FROM {t} WHERE length(content) // 4 > 512"
