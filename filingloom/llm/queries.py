@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingloom.llm import canonical, leaks, neighbours, pieces, sentences, sitelines, tokenizer
+from filingloom.llm import canonical, leaks, nearcopies, neighbours, pieces, sentences, sitelines, tokenizer
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -82,7 +82,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p6_decoded, p7_found, p7_reparameterised, p8_found)}
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    elements = _read(spark, sf, "elements").select(F.lit("elements").alias("tbl"), "id", F.col("content").alias("text"))
+    joined = F.array_join(F.transform("blocks", lambda b: b["content"]), "\n")
+    chunks = _read(spark, sf, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("id"), joined.alias("text"))
+    return nearcopies.near_pairs(elements.unionByName(chunks))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p6_decoded, p7_found, p7_reparameterised, p8_found)}
 
 _P4 = " UNION ALL ".join(
     f"SELECT DISTINCT '{t}' AS tbl, {k} AS row_key FROM {t} WHERE length(content) // 4 > 512"
