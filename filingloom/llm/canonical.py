@@ -151,8 +151,11 @@ def _ranges() -> str:
 
 def may_change(text: Column) -> Column:
     """True where the consistent form may differ: a necessary condition, tested without leaving the JVM."""
-    mixed = "|".join(f"\\p{{Is{s}}}[\\p{{L}}&&[^\\p{{Is{s}}}]]|[\\p{{L}}&&[^\\p{{Is{s}}}]]\\p{{Is{s}}}" for s in ("Greek", "Cyrillic", "Latin"))
-    return (F.octet_length(text) != F.length(text)) & text.rlike(f"[\\p{{M}}{_ranges()}]|{mixed}")
+    seen = "[^\\x00-\\x7F]"  # found fast; what it is, is looked up only then
+    alone = text.rlike(f"{seen}(?<=[\\p{{M}}{_ranges()}])")
+    other = text.rlike(f"{seen}(?<=[\\p{{IsGreek}}\\p{{IsCyrillic}}])")
+    mixed = "|".join(f"\\p{{Is{s}}}[\\p{{L}}&&[^\\p{{Is{s}}}]]|[\\p{{L}}&&[^\\p{{Is{s}}}]]\\p{{Is{s}}}" for s in ("Greek", "Cyrillic"))
+    return (F.octet_length(text) != F.length(text)) & (alone | (other & text.rlike(mixed)))
 
 
 @F.pandas_udf(T.StringType())
