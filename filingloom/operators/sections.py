@@ -16,8 +16,8 @@ from filingloom.plans import dimensions
 STANDARD = ("10-K", "10-Q", "20-F")
 # What may stand before a header in its line, and the headers.
 LEAD = "(?:\\*\\*|__)?\\s*(?:</?[^>]+>\\s*)*"
-PART_LINE = f"(?i)^\\s*{LEAD}(PART\\s+[IVXLC]+)\\b"
-ITEM_LINE = f"(?i)^\\s*{LEAD}ITEM\\s+(\\d{{1,2}}[A-Z]?)\\.?\\s*(?:[:.\\-–—]\\s*)?(.*)$"
+PART_LINE = f"(?i)^\\s*{LEAD}(PART\\s+[IVXLC]+)\\.?(?:\\*\\*|__)?(?:\\s|$)"
+ITEM_LINE = f"(?i)^\\s*{LEAD}ITEM\\s+(\\d{{1,2}}[A-Z]?)\\.?[ \\t]*(?:[:.\\-–—][ \\t]*)?(.*)$"
 ITEM_8K_LINE = f"(?i)^\\s*{LEAD}ITEM\\s+([1-9]\\.\\d{{2}}[A-Z]?)\\.?[ \\t]*(?:[:.\\-–—][ \\t]*)?(.*)$"
 PAGE_LINE = "(?i)^\\s*Page\\s+\\d+\\s*(?:of\\s+\\d+)?\\s*$|^\\s*\\d+\\s*$"
 FORM_LINE = "^\\s*(?:[A-Z][A-Za-z0-9 .,&\\-]+)?\\s*\\|\\s*\\d{4}\\s+Form\\s+10-[KQ]\\s*\\|\\s*\\d+\\s*$"
