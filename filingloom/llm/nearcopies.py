@@ -6,7 +6,7 @@ in R-trees whose boxes keep coordinate maxima, so one bound rules out whole boxe
 tokens.
 
 One R-tree over all records would compare nearly all its boxes, as group counts of unrelated records are alike. So the top
-of the index is a partitioning without loss: two records of similarity s share one of the rarest (1-s) of their tokens
+of the index is a partitioning without loss: two records of similarity s share some of the rarest (1-s) of their tokens
 (in any fixed order of tokens; here the rare ones first), so records meet only under such a token, each with its own tree.
 """
 
@@ -24,13 +24,14 @@ from filingloom.llm.canonical import consistent
 from filingloom.plans.scratch import materialise
 
 MIN_WORDS, RUN, SIMILARITY = 30, 3, 0.6
-#: Of the tokens that must hold a common one, so many of the lowest order are enough: each of the lowest of both records
-#: together is common with probability s, so none of them is with probability (1-s) ** KEYS, 1e-8 here.
-KEYS = 20
+#: Similar records share this many keys at least. Records that need an overlap of o tokens share MEET of their first
+#: n - o + MEET tokens, in any order of tokens; of these, so many of the lowest are enough: each of the lowest of both
+#: records together is common with probability s, so fewer than MEET of KEYS are with probability 1.4e-7.
+MEET, KEYS = 3, 24
 #: Cells that the occurrences of all tokens are counted in, and cells of one row of counts.
 CELLS, ROW = 1 << 20, 1 << 14
-#: Groups of a point; records of one tree node; members of a tree above which a token's records are spread over tasks.
-GROUPS, NODE, SPREAD = 32, 16, 4096
+#: Groups of a point, which has two bits for each and what exceeds them in two bytes; records of one tree node; members of a tree above which a token's records are spread over tasks.
+GROUPS, TOP, NODE, SPREAD = 128, 3, 16, 4096
 #: Members of groups of exact copies up to which all their pairs are written.
 EXPAND = 64
 
@@ -89,12 +90,24 @@ def token_counts(prep: DataFrame) -> np.ndarray:
 
 
 def points(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Group counts of each record; a count that doesn't fit into a byte makes the whole point 255, which bounds nothing."""
+    """Packed group counts of each record: counts up to ``TOP`` in two bits, and the sum of what exceeds it.
+
+    The minima of two records sum up to no more than those of their capped counts and the smaller excess.
+    """
     n = len(starts) - 1
     rec = np.repeat(np.arange(n), np.diff(starts))
     got = np.bincount(rec * GROUPS + (flat.astype(np.uint32) & np.uint32(GROUPS - 1)), minlength=n * GROUPS).reshape(n, GROUPS)
-    got[(got > 254).any(axis=1)] = 255
-    return got.astype(np.uint8)
+    capped = np.minimum(got, TOP).astype(np.uint8).reshape(n, GROUPS // 4, 4)
+    packed = capped[:, :, 0] | capped[:, :, 1] << 2 | capped[:, :, 2] << 4 | capped[:, :, 3] << 6
+    excess = np.minimum(np.maximum(got - TOP, 0).sum(axis=1), 65_535).astype(np.uint16)
+    return np.concatenate([packed, excess.view(np.uint8).reshape(n, 2)], axis=1)
+
+
+def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Capped counts and excess; an excess at its limit counts as any number."""
+    body, excess = packed[:, :-2], packed[:, -2:].copy().view(np.uint16).ravel().astype(np.int64)
+    counts = np.stack([body & 3, body >> 2 & 3, body >> 4 & 3, body >> 6], axis=2).reshape(len(packed), GROUPS)
+    return counts, np.where(excess == 65_535, 1 << 40, excess)
 
 
 class CountRTree:
@@ -103,44 +116,44 @@ class CountRTree:
     Nodes keep the maxima of their points and the range of their sizes. ``pairs`` joins the tree with itself.
     """
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray) -> None:
+    def __init__(self, counts: np.ndarray, excess: np.ndarray, sizes: np.ndarray) -> None:
         n = len(sizes)
         by_size = np.argsort(sizes, kind="stable")
         slab = max(NODE, NODE * math.ceil(math.sqrt(n / NODE)))
         widest = int(counts.astype(np.float32).var(axis=0).argmax()) if n else 0
         parts = [by_size[a : a + slab] for a in range(0, n, slab)]
         self.order = np.concatenate([p[np.argsort(counts[p, widest], kind="stable")] for p in parts]) if parts else by_size
-        self.counts, self.sizes = counts[self.order].astype(np.int16), sizes[self.order]
-        self.open = (self.counts >= 255).all(axis=1)
-        self.levels = []
-        top, least, most = self.counts, self.sizes, self.sizes
-        while len(top) > NODE:
-            cut = np.arange(0, len(top), NODE)
-            top, least, most = np.maximum.reduceat(top, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut)
-            self.levels.append((top, least, most))
+        top = (counts[self.order], excess[self.order], sizes[self.order], sizes[self.order])
+        self.levels = [top]
+        while len(top[0]) > NODE:
+            cut = np.arange(0, len(top[0]), NODE)
+            top = (np.maximum.reduceat(top[0], cut), np.maximum.reduceat(top[1], cut), np.minimum.reduceat(top[2], cut), np.maximum.reduceat(top[3], cut))
+            self.levels.append(top)
 
     @staticmethod
-    def _may(a: tuple, b: tuple, share: float, similarity: float) -> np.ndarray:
-        """Whether the summed minima of the maxima reach what the smallest records of both need, and the sizes can agree."""
-        bound = np.minimum(a[0], b[0]).sum(axis=1, dtype=np.int64)
-        free = (a[0] >= 255).all(axis=1) | (b[0] >= 255).all(axis=1)
-        sized = (a[2] >= similarity * b[1] - 1e-9) & (b[2] >= similarity * a[1] - 1e-9)
-        return sized & (free | (bound >= share * (a[1] + b[1]) - 1e-9))
+    def may(a: tuple, b: tuple, similarity: float) -> np.ndarray:
+        """Whether the summed minima of the maxima reach what the smallest records of both need, and the sizes can agree.
+
+        a, b: counts, excess, least and greatest size of points or boxes, row by row.
+        """
+        sized = np.nonzero((a[3] >= similarity * b[2] - 1e-9) & (b[3] >= similarity * a[2] - 1e-9))[0]
+        bound = np.minimum(a[0][sized], b[0][sized]).sum(axis=1, dtype=np.int64) + np.minimum(a[1][sized], b[1][sized])
+        out = np.zeros(len(a[3]), bool)
+        out[sized] = bound >= similarity / (1 + similarity) * (a[2][sized] + b[2][sized]) - 1e-9
+        return out
 
     def pairs(self, similarity: float) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all pairs of different records that the bound doesn't rule out."""
-        share, n = similarity / (1 + similarity), len(self.sizes)
-        levels = [(self.counts, self.sizes, self.sizes), *self.levels]
-        top = len(levels[-1][1])
-        a, b = np.triu_indices(top)
+        levels = self.levels
+        a, b = np.triu_indices(len(levels[-1][3]))
         for level in range(len(levels) - 1, -1, -1):
             at = levels[level]
-            keep = [self._may(tuple(x[a[s : s + 65_536]] for x in at), tuple(x[b[s : s + 65_536]] for x in at), share, similarity) for s in range(0, len(a), 65_536)]
+            keep = [self.may(tuple(x[a[s : s + 65_536]] for x in at), tuple(x[b[s : s + 65_536]] for x in at), similarity) for s in range(0, len(a), 65_536)]
             keep = np.concatenate(keep) if keep else np.empty(0, bool)
             a, b = a[keep], b[keep]
             if not level:
                 break
-            below = len(levels[level - 1][1])
+            below = len(levels[level - 1][3])
             i, j = np.divmod(np.arange(NODE * NODE), NODE)
             na, nb = (NODE * a[:, None] + i).ravel(), (NODE * b[:, None] + j).ravel()
             ok = (na < below) & (nb < below) & (na <= nb)
@@ -150,7 +163,7 @@ class CountRTree:
 
 
 def postings(prep: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """(key, cls, n, point): each record under the tokens of which two similar ones share one, the rare ones first.
+    """(key, cls, n, point): each record under the tokens of which two similar ones share some, the rare ones first.
 
     A token that stands in many records is kept in pieces: the record goes to one row of a square of tiles and its
     column, so any two of its records meet in one tile, and no task gets them all.
@@ -173,7 +186,7 @@ def postings(prep: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
             cell = mixed >> np.uint32(12)
             order = np.lexsort((mixed, rank[cell], rec))
             pos = np.arange(len(order)) - starts[rec]
-            prefix = np.minimum(n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, KEYS)
+            prefix = np.minimum(n - np.ceil(similarity * n - 1e-9).astype(np.int64) + MEET, KEYS)
             order = order[pos < prefix[rec]]
             r, key, t = rec[order], flat[order].astype(np.int64), tiles[cell[order]].astype(np.int64)
             if (t > 1).any():
@@ -190,14 +203,18 @@ def postings(prep: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
 
 
 def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) classes, a before b, that meet under a token and that the bounds of its R-tree don't rule out."""
+    """(a, b) classes, a before b, that meet under enough tokens and that the bounds of their R-trees don't rule out.
+
+    Under a token kept in pieces a pair may count more than once, which rules out fewer.
+    """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def found(table: pa.Table) -> pa.RecordBatch:
             key, cls, n = (table.column(c).to_numpy() for c in ("key", "cls", "n"))
-            counts = np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            counts, excess = unpacked(np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(len(key), -1))
+            sizes = n.astype(np.int64)
             first = np.nonzero(np.diff(key, prepend=key[0] - 1))[0]
             size = np.diff(first, append=len(key))
             out_a, out_b = [], []
@@ -205,25 +222,23 @@ def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
             # trees of one leaf, all at once: each record with the d-th after it
             last = np.repeat(first + size, size)
             flat = np.repeat(small, size)
-            share = similarity / (1 + similarity)
             for d in range(1, min(NODE, int(size.max()))):
                 i = np.nonzero(flat[:-d] & (np.arange(len(key) - d) + d < last[:-d]))[0]
                 if not len(i):
                     break
-                x = (counts[i].astype(np.int16), n[i].astype(np.int64), n[i].astype(np.int64))
-                y = (counts[i + d].astype(np.int16), n[i + d].astype(np.int64), n[i + d].astype(np.int64))
-                ok = CountRTree._may(x, y, share, similarity)
+                x, y = ((counts[k], excess[k], sizes[k], sizes[k]) for k in (i, i + d))
+                ok = CountRTree.may(x, y, similarity)
                 out_a.append(cls[i[ok]])
                 out_b.append(cls[i[ok] + d])
             for f, s in zip(first[~small], size[~small]):
-                a, b = CountRTree(counts[f : f + s], n[f : f + s].astype(np.int64)).pairs(similarity)
+                a, b = CountRTree(counts[f : f + s], excess[f : f + s], sizes[f : f + s]).pairs(similarity)
                 out_a.append(cls[f + a])
                 out_b.append(cls[f + b])
             a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
             b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-            both = both[:, both[0] != both[1]]
-            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"])
+            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            both, times = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64()), pa.array(times, pa.int64())], ["a", "b", "times"])
 
         rows = 0
         for batch in batches:
@@ -242,7 +257,8 @@ def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
             yield found(pa.concat_tables(held).combine_chunks())
 
     shared = posted.repartition("key").sortWithinPartitions("key", "n")
-    return shared.mapInArrow(join, "a long, b long").distinct()
+    met = shared.mapInArrow(join, "a long, b long, times long")
+    return met.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= MEET).select("a", "b")
 
 
 def similar_classes(prep: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
