@@ -22,6 +22,8 @@ LOOK_ALIKES = """
 A Α А|B Β В|C - С|E Ε Е|H Η Н|I Ι І|J - Ј|K Κ К|M Μ М|N Ν -|O Ο О|P Ρ Р|S - Ѕ|T Τ Т|X Χ Х|Y Υ У|Z Ζ -
 a α а|c ϲ с|e - е|h - һ|i ι і|j ϳ ј|k κ к|o ο о|p ρ р|s - ѕ|u υ -|v ν ѵ|x χ х|y γ у|d - ԁ|q - ԛ|Q - Ԛ|W - Ԝ|w - ԝ|G - Ԍ|Y - Ү|- Γ Г|- Π П|- Λ Л|- Φ Ф|- π п|- τ т|- φ ф
 """
+# Letters too rare to be what a word of their script had in that place; they are replaced, never put in.
+RARE = "ϲϳһѵԁԛԝԌҮ"
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC")
 
 
@@ -66,7 +68,7 @@ def compiled() -> tuple[dict[str, str], dict[tuple[str, str], str]]:
             continue
         for i, a in enumerate(letters):
             for j, b in enumerate(letters):
-                if i != j and "-" not in (a, b):
+                if i != j and "-" not in (a, b) and b not in RARE:
                     alike.setdefault((SCRIPTS[j], a), b)
     for (script, a), b in alike.items():
         if _script(b) != script or _script(a) == script:
@@ -120,7 +122,7 @@ def _span(text: str) -> str:
     if word:
         _settle(word, alike)
         out += word
-    return "".join(out)
+    return unicodedata.normalize("NFC", "".join(out))  # a letter that was put in may take the marks after it
 
 
 def consistent_form(text: str | None) -> str | None:
