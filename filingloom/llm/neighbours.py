@@ -23,7 +23,7 @@ from filingloom.plans.scratch import materialise
 
 DIM, K = 64, 5
 #: Projected dimensions of a tree, vectors in a leaf, and vectors that the upper levels are fitted on.
-DIRECTIONS, LEAF, SAMPLE = 8, 2048, 65_536
+DIRECTIONS, LEAF, SAMPLE = 8, 2048, 32_768
 #: Probability with which a close enough vector has a projected distance inside the tested one.
 CONFIDENCE = 0.995
 #: Share of close pairs that no tree brings together, from which the number of trees follows.
