@@ -24,6 +24,7 @@ class Tree(HTMLParser):
         self.tag, self.attrs, self.parent, self.children, self.text = ["#root"], [{}], [-1], [[]], [""]
         self.open = [0]
         self.in_head = self.seen_head = False
+        self.head: set[int] = set()  # nodes of the document's head
         self.feed(html)
         self.close()
 
@@ -35,6 +36,8 @@ class Tree(HTMLParser):
         self.children.append([])
         self.text.append(text)
         self.children[parent].append(node)
+        if self.in_head or parent in self.head:
+            self.head.add(node)
         return node
 
     def end_open(self, tags: tuple[str, ...] | frozenset, stops: tuple[str, ...] = ()) -> None:
@@ -83,7 +86,7 @@ class Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.in_head and not data.strip():
             return
-        if not self.in_head or len(self.open) == 1:
+        if len(self.open) == 1:
             self.in_head = False
         self.add(TEXT, {}, data)
 
@@ -92,7 +95,7 @@ class Tree(HTMLParser):
 
     def is_unseen(self, node: int) -> bool:
         """In a head element that slipped in, or one whose text isn't read."""
-        return self.tag[node] in ("title", "meta", "link", "base")
+        return node in self.head or self.tag[node] in ("title", "meta", "link", "base")
 
     def descend(self, node: int):
         """Nodes below, in document order."""

@@ -90,7 +90,8 @@ def _fragments(events: DataFrame, keep_header: bool) -> DataFrame:
     return joined.withColumn("content", _trim(F.col("content"))).where(F.col("content") != "")
 
 
-DOC = W.partitionBy("doc_id").orderBy("number", "line_no")
+def _doc():
+    return W.partitionBy("doc_id").orderBy("number", "line_no")
 
 
 def standard_fragments(pages: DataFrame) -> DataFrame:
@@ -104,7 +105,7 @@ def standard_fragments(pages: DataFrame) -> DataFrame:
     lines = _lines(rows, clean_lines(F.col("content")))
     part = F.nullif(F.regexp_extract("line", PART_LINE, 1), F.lit(""))
     code, title = F.regexp_extract("line", ITEM_LINE, 1), _trim(F.regexp_extract("line", ITEM_LINE, 2))
-    before = F.concat_ws("\n", F.lag("line", 3).over(DOC), F.lag("line", 2).over(DOC), F.lag("line", 1).over(DOC), F.lit(""))
+    before = F.concat_ws("\n", F.lag("line", 3).over(_doc()), F.lag("line", 2).over(_doc()), F.lag("line", 1).over(_doc()), F.lit(""))
     page = W.partitionBy("doc_id", "number").orderBy("line_no")
     marked = lines.select(
         "*", F.upper(F.regexp_replace(part, "\\s+", " ")).alias("part_here"),
@@ -119,9 +120,9 @@ def standard_fragments(pages: DataFrame) -> DataFrame:
     later = F.coalesce(F.max(F.when(F.col("item_here").isNotNull(), 1)).over(page.rowsBetween(1, W.unboundedFollowing)), F.lit(0)) == 1
     events = seen.withColumns({"event": event, "gives_way": F.col("part_here").isNotNull() & first & later})
     carried = events.withColumns({
-        "section": F.sum(F.col("event").cast("int")).over(DOC),
-        "part": F.last("part_here", ignorenulls=True).over(DOC),
-        "header": F.last(F.when(F.col("event"), F.struct("item_here", "title_here", "gives_way")), ignorenulls=True).over(DOC),
+        "section": F.sum(F.col("event").cast("int")).over(_doc()),
+        "part": F.last("part_here", ignorenulls=True).over(_doc()),
+        "header": F.last(F.when(F.col("event"), F.struct("item_here", "title_here", "gives_way")), ignorenulls=True).over(_doc()),
     })
     item = F.col("header.item_here")
     held = carried.where(~F.col("header.gives_way")).select(
@@ -166,14 +167,14 @@ def fragments_13d(pages: DataFrame, desired: list[str] | None = None) -> DataFra
     """
     rows = pages.where(F.col("filing_type").isin("SC 13D", "SC 13G") & F.col("content").isNotNull())
     lines = _lines(rows, _plain_lines(F.col("content")))
-    stop = F.max(F.col("line").rlike("(?i)^\\s*(?:\\*\\*|__)?\\s*SIGNATURE").cast("int")).over(DOC)
+    stop = F.max(F.col("line").rlike("(?i)^\\s*(?:\\*\\*|__)?\\s*SIGNATURE").cast("int")).over(_doc())
     lines = lines.withColumn("stop", stop).where("stop = 0").drop("stop")
     code = F.upper(F.nullif(F.regexp_extract("line", ITEM_LINE, 1), F.lit("")))
     most = F.when(F.col("filing_type") == "SC 13G", 10).otherwise(7)
     valid = code.rlike("^([1-9]|10)$") & (F.try_to_number(code, F.lit("99")) <= most) & ~F.col("line").contains("|")
     title = _edges(_trim(F.regexp_extract("line", ITEM_LINE, 2)))
     found = lines.withColumn("found", F.when(valid, F.struct(code.alias("code"), F.nullif(title, F.lit("")).alias("title"))))
-    before = F.last("found", ignorenulls=True).over(DOC.rowsBetween(W.unboundedPreceding, -1))["code"]
+    before = F.last("found", ignorenulls=True).over(_doc().rowsBetween(W.unboundedPreceding, -1))["code"]
     sub = F.col("found.title").rlike("^\\([a-z]\\)")
     head = F.when(F.col("found").isNotNull() & ~(F.coalesce(sub, F.lit(False)) & F.coalesce(before == F.col("found.code"), F.lit(False))), F.col("found"))
     return _numbered(found.withColumn("head_", head), F.col("head_"), pages, desired)
@@ -181,7 +182,7 @@ def fragments_13d(pages: DataFrame, desired: list[str] | None = None) -> DataFra
 
 def _numbered(lines: DataFrame, head: Column, pages: DataFrame, desired: list[str] | None) -> DataFrame:
     events = lines.withColumn("head", head).withColumn("event", F.col("head").isNotNull())
-    carried = events.withColumns({"section": F.sum(F.col("event").cast("int")).over(DOC), "now": F.last("head", ignorenulls=True).over(DOC)})
+    carried = events.withColumns({"section": F.sum(F.col("event").cast("int")).over(_doc()), "now": F.last("head", ignorenulls=True).over(_doc())})
     if desired:
         carried = carried.where(F.col("now.code").isin(*desired))
     held = carried.select(

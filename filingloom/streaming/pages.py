@@ -16,7 +16,7 @@ def filings_stream(spark: SparkSession, path: str, schema: StructType | str, fmt
 
 def first_deliveries(stream: DataFrame, key: str = "doc_id", time: str = "loaded_at", late: str = "7 days") -> DataFrame:
     """Each document once; the keys seen are forgotten after ``late``, so the state is bounded. A null time never leaves."""
-    return stream.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return stream.where(F.col(key).isNotNull() & F.col(time).isNotNull()).withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def stream_pages(stream: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def stream_pages(stream: DataFrame) -> DataFrame:
 
 def arrivals(stream: DataFrame, time: str = "loaded_at", width: str = "1 day", late: str = "7 days") -> DataFrame:
     """(start, filing_type, docs): documents by day and type, with late ones up to ``late``."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "filing_type").agg(F.count("*").alias("docs")).select(F.col("w.start").alias("start"), "filing_type", "docs")
+    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, width).alias("w"), "filing_type").agg(F.count("*").alias("docs")).select(F.col("w.start").alias("start"), "filing_type", "docs")
 
 
 def write_pages(pages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
