@@ -190,7 +190,7 @@ def q_xbrl_tags(spark, sf):
 
 
 def q_tag_filter(spark, sf):
-    return chunks.with_tag(_elements(spark, sf, "id", "tags"), "us-gaap:%").select("id")
+    return chunks.with_tag(_elements(spark, sf, "id", "tags"), "inv:%Text%").select("id")
 
 
 def _notes(spark, sf) -> DataFrame:
@@ -258,11 +258,12 @@ def q_chunk_elements_of(spark, sf):
     return rows.join(_elements(spark, sf, "id", "kind"), "id").groupBy("chunk_id").agg(F.count("*").alias("elements"), F.count(F.when(F.col("kind") == "table", 1)).alias("tables"))
 
 
-def q_contained_elements(spark, sf):
-    """Elements whose offsets lie within another's of their page: an interval join, keyed by page."""
-    e = _elements(spark, sf, "id", "doc_id", "page", "start_offset", "end_offset").where("start_offset IS NOT NULL AND end_offset IS NOT NULL")
-    o = e.select("doc_id", "page", F.col("id").alias("outer_id"), F.col("start_offset").alias("a"), F.col("end_offset").alias("b"))
-    return e.join(o, ["doc_id", "page"]).where("a <= start_offset AND end_offset <= b AND id <> outer_id").select("id", "outer_id")
+def q_element_offsets(spark, sf):
+    """Whether the offsets of each element find it in its page's content."""
+    e = _elements(spark, sf, "id", "doc_id", "page", "content", "start_offset", "end_offset").where("start_offset IS NOT NULL AND end_offset IS NOT NULL AND content IS NOT NULL")
+    p = read(spark, sf, "doc_pages").select("doc_id", F.col("number").alias("page"), F.col("content").alias("whole")).distinct()
+    found = F.substring(F.col("whole"), F.col("start_offset") + 1, F.col("end_offset") - F.col("start_offset"))
+    return e.join(p, ["doc_id", "page"]).select("id", (found == F.col("content")).alias("matches"))
 
 
 def q_highlight(spark, sf):

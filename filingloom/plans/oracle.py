@@ -119,7 +119,18 @@ def _candidate() -> str:
 
 CANDIDATES = f"SELECT doc_id, number, {_candidate()} AS candidate FROM (SELECT *, string_split(content, chr(10)) AS ls FROM {PAGES})"
 
+_PARSED = f"""(SELECT doc_id, html, '**' || trim(regexp_replace(b, '{WS}+', ' ', 'g')) || '**' || chr(10) || chr(10) || trim(regexp_replace(p, '{WS}+', ' ', 'g')) AS content
+  FROM (SELECT doc_id, h AS html, regexp_extract(h, '<b>(.*?)</b>', 1) AS b, regexp_extract(h, '<br><p>(.*?)(</body>|$)', 1) AS p
+    FROM (SELECT doc_id, arg_max({{'h': html}}, loaded_at).h AS h FROM filings GROUP BY doc_id) WHERE h IS NOT NULL))"""
+
 ORACLE = {
+    "q_parsed_pages": f"SELECT doc_id, 1 AS number, content, NULL::INT AS display_page FROM {_PARSED}",
+    "q_markdown": f"SELECT doc_id, content AS markdown FROM {_PARSED}",
+    "q_parsed_elements": f"""SELECT doc_id, 1 AS page, 0 AS seq, 'fl-p1-t0-' || substr(sha1(lower(regexp_replace(content, '{WS}+', ' ', 'g'))), 1, 8) AS id, 'text' AS kind, content,
+      0 AS start_offset, length(content)::INT AS end_offset FROM {_PARSED}""",
+    "q_retention": f"SELECT doc_id, length(html)::BIGINT AS input_chars, length(content)::BIGINT AS output_chars, length(content) / length(html) AS retention FROM {_PARSED}",
+    "q_highlight": f"""SELECT doc_id, (length(html) + length('<style>[data-element="' || doc_id || '"], [id="' || doc_id || '"] {{ background-color: #ffe58f; outline: 2px solid #d48806; }}</style>')
+      + length('<script>document.querySelector(' || chr(39) || '[data-element="' || doc_id || '"], [id="' || doc_id || '"]' || chr(39) || ').scrollIntoView();</script>'))::BIGINT AS chars, true AS in_order FROM {_PARSED}""",
     "q_clean_text": f"SELECT id, trim(regexp_replace(regexp_replace(content, '[\\x{{200B}}\\x{{FEFF}}]', '', 'g'), '{WS}+', ' ', 'g')) AS cleaned FROM (SELECT DISTINCT id, content FROM elements)",
     "q_token_estimate": "SELECT id, greatest(1, coalesce(length(content), 0) // 4)::BIGINT AS tokens FROM (SELECT DISTINCT id, content FROM elements)",
     "q_sentences": f"""SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS pos, s AS sentence FROM (
@@ -155,7 +166,7 @@ ORACLE = {
     "q_section_stats": f"{ALL} SELECT filing_type, part, item, count(*) AS sections, sum(tokens)::BIGINT AS tokens FROM allsect GROUP BY filing_type, part, item",
     "q_structure_dimension": f"SELECT * FROM (VALUES {_STRUCTURE}) v(filing_type, part, item)",
     "q_xbrl_tags": "SELECT DISTINCT id, unnest(tags) AS tag FROM elements",
-    "q_tag_filter": "SELECT DISTINCT id FROM (SELECT id, tags, unnest(tags) AS t FROM (SELECT DISTINCT id, tags FROM elements)) WHERE t LIKE 'us-gaap:%'",
+    "q_tag_filter": "SELECT DISTINCT id FROM (SELECT id, tags, unnest(tags) AS t FROM (SELECT DISTINCT id, tags FROM elements)) WHERE t LIKE 'inv:%Text%'",
     "q_merge_notes": "SELECT doc_id, tags[1] AS name, min(page)::BIGINT AS start_page, max(page)::BIGINT AS end_page, count(DISTINCT page) AS pages, count(*) AS elements FROM (SELECT DISTINCT doc_id, page, seq, id, tags FROM elements WHERE page IS NOT NULL) WHERE tags[1] IS NOT NULL GROUP BY doc_id, tags[1]",
     "q_chunk_flags": """SELECT chunk_id, array_to_string(list_transform(bl, lambda b: b.content), chr(10)) AS content, coalesce(list_sum(list_transform(bl, lambda b: greatest(1, length(b.content) // 4))), 0)::BIGINT AS num_tokens,
       len(list_filter(bl, lambda b: b.block_type = 'Table')) > 0 AS has_table, list_min(list_transform(bl, lambda b: b.page))::BIGINT AS start_page, list_max(list_transform(bl, lambda b: b.page))::BIGINT AS end_page
@@ -163,6 +174,6 @@ ORACLE = {
     "q_embedding_text": "SELECT chunk_id, CASE WHEN length(header) > 0 THEN header || chr(10) || chr(10) || '...' || chr(10) || chr(10) || coalesce(content, '') ELSE content END AS embedding_text FROM (SELECT DISTINCT chunk_id, header, content FROM chunks)",
     "q_chunk_vectors": "SELECT chunk_id, len(embedding)::BIGINT AS dims, round(embedding[1]::DOUBLE, 5) AS v0 FROM (SELECT DISTINCT chunk_id, index::BIGINT AS vec_id FROM chunks) LEFT JOIN embeddings USING (vec_id)",
     "q_chunk_elements_of": "SELECT chunk_id, count(*) AS elements, count(CASE WHEN kind = 'table' THEN 1 END) AS tables FROM (SELECT DISTINCT chunk_id, unnest(element_ids) AS id FROM chunks) JOIN (SELECT DISTINCT id, kind FROM elements) USING (id) GROUP BY chunk_id",
-    "q_contained_elements": "WITH e AS (SELECT DISTINCT id, doc_id, page, start_offset, end_offset FROM elements WHERE start_offset IS NOT NULL AND end_offset IS NOT NULL) SELECT e.id, o.id AS outer_id FROM e JOIN e o ON e.doc_id = o.doc_id AND e.page = o.page AND o.start_offset <= e.start_offset AND e.end_offset <= o.end_offset AND e.id <> o.id",
+    "q_element_offsets": f"SELECT id, substr(p.content, start_offset + 1, end_offset - start_offset) = e.content AS matches FROM (SELECT DISTINCT id, doc_id, page, content, start_offset, end_offset FROM elements WHERE start_offset IS NOT NULL AND end_offset IS NOT NULL AND content IS NOT NULL) e JOIN {PAGES} p ON p.doc_id = e.doc_id AND p.number = e.page",
     "q_corpus_report": "SELECT filing_type, site, count(*) AS docs, count(DISTINCT cik) AS filers, grouping_id(filing_type, site)::BIGINT AS level FROM (SELECT doc_id, r.filing_type AS filing_type, r.site AS site, r.cik AS cik FROM (SELECT doc_id, arg_max({'filing_type': filing_type, 'site': site, 'cik': cik}, loaded_at) AS r FROM filings WHERE doc_id IS NOT NULL GROUP BY doc_id)) GROUP BY ROLLUP (filing_type, site)",
 }
