@@ -96,7 +96,17 @@ _P4 = " UNION ALL ".join(
     for t, k in (("elements", "id"), ("doc_pages", "doc_id || '#' || number"), ("blocks", "doc_id || '#' || seq"))
 )
 
+def _windows(key: str, texts: str) -> str:
+    """Distinct runs of twelve words."""
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 11], ' ') AS k FROM (
+      SELECT {key}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {key}, regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+') AS w FROM ({texts})) WHERE len(w) >= 12)"""
+
+
+_P7 = f"""SELECT DISTINCT doc_id, eval_id FROM ({_windows("doc_id", "SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL")})
+  JOIN ({_windows("eval_id", "SELECT eval_id, passage AS t FROM eval_items UNION ALL SELECT eval_id, question FROM eval_items")}) USING (k)"""
+
 SQL = {
+    "p7_found": _P7,
     "p4_found": _P4,
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
