@@ -25,13 +25,21 @@ from filingloom.plans.scratch import materialise
 
 MIN_WORDS, RUN, SIMILARITY = 30, 3, 0.6
 #: Similar records share this many keys at least. Records that need an overlap of o tokens share MEET of their first
-#: n - o + MEET tokens, in any order of tokens; of these, so many of the lowest are enough: each of the lowest of both
-#: records together is common with probability s, so fewer than MEET of KEYS are with probability 1.4e-7.
-MEET, KEYS = 3, 24
+#: n - o + MEET tokens, in any order of tokens.
+MEET = 3
+#: A record of which no more than SHARE of the tokens are common ones needs only the KEYS lowest of them: of similar
+#: records the tokens that aren't common ones agree to 0.41 at least, each of the lowest of both together is in both with
+#: that probability, so fewer than MEET of KEYS are with probability 1.2e-5 at most, at the very threshold.
+KEYS, SHARE = 32, 0.4
+#: A token is common if it occurs so many times as often as the mean of the cells, and more than MANY times.
+OFTEN, MANY = 32, 64
 #: Cells that the occurrences of all tokens are counted in, and cells of one row of counts.
 CELLS, ROW = 1 << 20, 1 << 14
-#: Groups of a point, which has two bits for each and what exceeds them in two bytes; records of one tree node; members of a tree above which a token's records are spread over tasks.
+#: Groups of a point, the count up to which a group is kept, records of a tree's node, and how often a token occurs above
+#: which its records are spread over tasks.
 GROUPS, TOP, NODE, SPREAD = 128, 3, 16, 4096
+#: Records of more tokens than the first number have points of so many groups, which fold into fewer by addition.
+FINER = ((128, 512), (512, 2048))
 #: Members of groups of exact copies up to which all their pairs are written.
 EXPAND = 64
 
@@ -89,27 +97,86 @@ def token_counts(prep: DataFrame) -> np.ndarray:
     return out
 
 
-def points(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Packed group counts of each record: counts up to ``TOP`` in two bits, and the sum of what exceeds it.
-
-    The minima of two records sum up to no more than those of their capped counts and the smaller excess.
-    """
-    n = len(starts) - 1
-    rec = np.repeat(np.arange(n), np.diff(starts))
-    got = np.bincount(rec * GROUPS + (flat.astype(np.uint32) & np.uint32(GROUPS - 1)), minlength=n * GROUPS).reshape(n, GROUPS)
-    capped = np.minimum(got, TOP).astype(np.uint8).reshape(n, GROUPS // 4, 4)
+def _packed(flat: np.ndarray, rec: np.ndarray, n: int, groups: int) -> np.ndarray:
+    """Counts of ``n`` records up to ``TOP`` in two bits a group, and the sum of what exceeds it in two bytes."""
+    got = np.bincount(rec * groups + (flat.astype(np.uint32) & np.uint32(groups - 1)), minlength=n * groups).reshape(n, groups)
+    capped = np.minimum(got, TOP).astype(np.uint8).reshape(n, groups // 4, 4)
     packed = capped[:, :, 0] | capped[:, :, 1] << 2 | capped[:, :, 2] << 4 | capped[:, :, 3] << 6
     excess = np.minimum(np.maximum(got - TOP, 0).sum(axis=1), 65_535).astype(np.uint16)
     return np.concatenate([packed, excess.view(np.uint8).reshape(n, 2)], axis=1)
 
 
+def points(flat: np.ndarray, starts: np.ndarray) -> list[bytes]:
+    """The point of each record: packed group counts, of more groups for more tokens.
+
+    The minima of two records sum up to no more than those of their capped counts and the smaller excess.
+    """
+    sizes = np.diff(starts)
+    rec = np.repeat(np.arange(len(sizes)), sizes)
+    out: list[bytes] = [b""] * len(sizes)
+    limits = [(-1, GROUPS), *FINER]
+    for k, (above, groups) in enumerate(limits):
+        own = (sizes > above) & (sizes <= limits[k + 1][0] if k + 1 < len(limits) else True)
+        ids = np.flatnonzero(own)
+        place = np.cumsum(own) - 1
+        for a in range(0, len(ids), 4096):  # a few MB at a time
+            some = ids[a : a + 4096]
+            mine = own[rec] & (rec >= some[0]) & (rec <= some[-1])
+            for i, row in zip(some, _packed(flat[mine], place[rec[mine]] - a, len(some), groups)):
+                out[i] = row.tobytes()
+    return out
+
+
 def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Capped counts and excess; an excess at its limit counts as any number."""
+    """Capped counts and excess of points of one size; an excess at its limit counts as any number."""
     body, excess = packed[:, :-2], packed[:, -2:].copy().view(np.uint16).ravel().astype(np.int64)
-    counts = np.stack([body & 3, body >> 2 & 3, body >> 4 & 3, body >> 6], axis=2).reshape(len(packed), GROUPS)
+    counts = np.stack([body & 3, body >> 2 & 3, body >> 4 & 3, body >> 6], axis=2).reshape(len(packed), -1)
     return counts, np.where(excess == 65_535, 1 << 40, excess)
 
 
+def folded(counts: np.ndarray, excess: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same points with fewer groups."""
+    if counts.shape[1] == groups:
+        return counts, excess
+    total = counts.reshape(len(counts), -1, groups).sum(axis=1, dtype=np.int64)
+    return np.minimum(total, TOP).astype(np.uint8), excess + np.maximum(total - TOP, 0).sum(axis=1)
+
+
+class Points:
+    """The points of many records at each number of groups, as far as the records have them."""
+
+    def __init__(self, packed: list[bytes], sizes: np.ndarray) -> None:
+        length = np.fromiter(map(len, packed), np.int64, len(packed))
+        self.sizes, self.levels = sizes, []
+        for groups in (GROUPS, *(g for _, g in FINER)):
+            place = np.full(len(packed), -1)
+            counts, excess = [], []
+            for own in (GROUPS, *(g for _, g in FINER)):
+                ids = np.flatnonzero(length == own // 4 + 2)
+                if own >= groups and len(ids):
+                    c, e = folded(*unpacked(np.frombuffer(b"".join(packed[i] for i in ids), np.uint8).reshape(len(ids), -1)), groups)
+                    place[ids] = sum(map(len, excess)) + np.arange(len(ids))
+                    counts.append(c)
+                    excess.append(e)
+            if counts:
+                self.levels.append((place, np.concatenate(counts), np.concatenate(excess)))
+
+    def coarse(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        place, counts, excess = self.levels[0]
+        return counts[place[rows]], excess[place[rows]], self.sizes[rows], self.sizes[rows]
+
+    def refined(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Which pairs of rows the finer points don't rule out either."""
+        keep = np.ones(len(a), bool)
+        for place, counts, excess in self.levels[1:]:
+            at = np.flatnonzero(keep & (place[a] >= 0) & (place[b] >= 0))
+            for k in range(0, len(at), 16_384):
+                i, j = a[at[k : k + 16_384]], b[at[k : k + 16_384]]
+                x, y = ((counts[place[r]], excess[place[r]], self.sizes[r], self.sizes[r]) for r in (i, j))
+                keep[at[k : k + 16_384]] = CountRTree.may(x, y, similarity)
+        return keep
+
+
 class CountRTree:
     """R-tree over group counts, packed by tiles: sorted by size, then by the widest coordinate within each slab.
 
@@ -169,7 +236,7 @@ def postings(prep: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
     column, so any two of its records meet in one tile, and no task gets them all.
     """
     mean = counts.mean()
-    rank = np.where(counts > 2 * mean + 2, np.log2(np.maximum(counts, 1)).astype(np.int64), 0).astype(np.uint8)
+    rank = np.where(counts > OFTEN * mean + MANY, np.log2(np.maximum(counts, 1)).astype(np.int64), 0).astype(np.uint8)
     tiles = np.ceil(np.maximum(0, counts - 2 * mean) / SPREAD).clip(1, 1 << 12).astype(np.int16)
     sent = prep.sparkSession.sparkContext.broadcast((rank, tiles))  # 3 MB, whatever the data
 
@@ -186,7 +253,9 @@ def postings(prep: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
             cell = mixed >> np.uint32(12)
             order = np.lexsort((mixed, rank[cell], rec))
             pos = np.arange(len(order)) - starts[rec]
-            prefix = np.minimum(n - np.ceil(similarity * n - 1e-9).astype(np.int64) + MEET, KEYS)
+            prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + MEET
+            common = np.bincount(rec, weights=rank[cell] > 0, minlength=len(n))
+            prefix = np.where(common <= SHARE * n, np.minimum(prefix, KEYS), prefix)
             order = order[pos < prefix[rec]]
             r, key, t = rec[order], flat[order].astype(np.int64), tiles[cell[order]].astype(np.int64)
             if (t > 1).any():
@@ -195,8 +264,7 @@ def postings(prep: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
                 other = np.arange(len(times)) - np.repeat(np.cumsum(t) - t, t)
                 lo, hi = np.minimum(own[times], other), np.maximum(own[times], other)
                 r, key = r[times], key[times] + (((lo << 12) + hi) << 33)
-            at = points(flat, starts)
-            binary = pa.array([at[i].tobytes() for i in range(len(at))], pa.binary()).take(pa.array(r))
+            binary = pa.array(points(flat, starts), pa.binary()).take(pa.array(r))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), binary], ["key", "cls", "n", "point"])
 
     return prep.select("cls", "sh").mapInArrow(spread, "key long, cls long, n int, point binary")
@@ -213,8 +281,7 @@ def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
 
         def found(table: pa.Table) -> pa.RecordBatch:
             key, cls, n = (table.column(c).to_numpy() for c in ("key", "cls", "n"))
-            counts, excess = unpacked(np.frombuffer(b"".join(table.column("point").to_pylist()), np.uint8).reshape(len(key), -1))
-            sizes = n.astype(np.int64)
+            at = Points(table.column("point").to_pylist(), n.astype(np.int64))
             first = np.nonzero(np.diff(key, prepend=key[0] - 1))[0]
             size = np.diff(first, append=len(key))
             out_a, out_b = [], []
@@ -226,16 +293,16 @@ def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
                 i = np.nonzero(flat[:-d] & (np.arange(len(key) - d) + d < last[:-d]))[0]
                 if not len(i):
                     break
-                x, y = ((counts[k], excess[k], sizes[k], sizes[k]) for k in (i, i + d))
-                ok = CountRTree.may(x, y, similarity)
-                out_a.append(cls[i[ok]])
-                out_b.append(cls[i[ok] + d])
+                i = i[CountRTree.may(at.coarse(i), at.coarse(i + d), similarity)]
+                out_a.append(i)
+                out_b.append(i + d)
             for f, s in zip(first[~small], size[~small]):
-                a, b = CountRTree(counts[f : f + s], excess[f : f + s], sizes[f : f + s]).pairs(similarity)
-                out_a.append(cls[f + a])
-                out_b.append(cls[f + b])
-            a = np.concatenate(out_a) if out_a else np.empty(0, np.int64)
-            b = np.concatenate(out_b) if out_b else np.empty(0, np.int64)
+                a, b = CountRTree(*at.coarse(np.arange(f, f + s))[:3]).pairs(similarity)
+                out_a.append(f + a)
+                out_b.append(f + b)
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
+            fine = at.refined(a, b, similarity)
+            a, b = cls[a[fine]], cls[b[fine]]
             a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
             both, times = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
             return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64()), pa.array(times, pa.int64())], ["a", "b", "times"])

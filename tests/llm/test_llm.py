@@ -79,14 +79,17 @@ def test_tree_keeps_every_similar_pair():
     rng = np.random.default_rng(5)
     sets = []
     for _ in range(60):
-        base = rng.choice(10**6, 70, replace=False)
-        sets += [np.unique(np.where(rng.random(70) < 0.1, rng.integers(0, 10**6, 70), base)) for _ in range(4)]
+        n = int(rng.choice([40, 70, 300, 900]))
+        base = rng.choice(10**6, n, replace=False)
+        sets += [np.unique(np.where(rng.random(n) < 0.1, rng.integers(0, 10**6, n), base)) for _ in range(4)]
     flat, starts = np.concatenate(sets).astype(np.int32), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    counts, excess = nearcopies.unpacked(nearcopies.points(flat, starts))
-    a, b = nearcopies.CountRTree(counts, excess, np.diff(starts)).pairs(0.6)
+    at = nearcopies.Points(nearcopies.points(flat, starts), np.diff(starts))
+    a, b = nearcopies.CountRTree(*at.coarse(np.arange(len(sets)))[:3]).pairs(0.6)
+    keep = at.refined(a, b, 0.6)
+    a, b = a[keep], b[keep]
     got = {(min(x, y), max(x, y)) for x, y in zip(a, b)}
     want = {(j, i) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))}
-    assert want <= got and len(got) < len(sets) * (len(sets) - 1) // 4
+    assert want <= got and len(got) < 2 * len(want) + 200
 
 
 # 2
@@ -225,7 +228,7 @@ def test_ids_are_those_of_the_tokenizer(spark):
     texts = ["Hello  world", "", None, "   ", "it's 3.14 <|endoftext|>", "Größe 漢字 ไทย मानक 👩‍🔧", "a" * 700, "\n\n\t x", "don't I'LL\r\n", " x　y", "same same same " * 50]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("words", F.lit("clash")).withColumn("ids", F.lit(1))
     df = df.union(df.where("doc_id = 0"))
-    got = {r["doc_id"]: r["ids"] for r in tokenizer.encode(df.distinct(), "doc_id", "text", VOCABULARY).collect()}
+    got = {r["doc_id"]: r["ids"] for r in tokenizer.encode(df, "doc_id", "text", VOCABULARY).collect()}
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
     back = spark.createDataFrame([(k, v) for k, v in got.items()] + [(99, None)], "doc_id long, ids array<int>")
     assert {r["doc_id"]: r["text"] for r in tokenizer.decode(back, "doc_id", "ids", VOCABULARY).collect()} == {**{i: x or "" for i, x in enumerate(texts)}, 99: None}
