@@ -37,9 +37,9 @@ OFTEN, MANY = 32, 64
 CELLS, ROW = 1 << 20, 1 << 14
 #: Groups of a point, the count up to which a group is kept, records of a tree's node, and how often a token occurs above
 #: which its records are spread over tasks.
-GROUPS, TOP, NODE, SPREAD = 128, 3, 16, 4096
+GROUPS, TOP, NODE, SPREAD = 64, 3, 16, 4096
 #: Records of more tokens than the first number have points of so many groups, which fold into fewer by addition.
-FINER = ((128, 512), (512, 2048))
+FINER = ((64, 128), (128, 512), (512, 2048))
 #: Members of groups of exact copies up to which all their pairs are written.
 EXPAND = 64
 
