@@ -1,7 +1,8 @@
 """Problem 6: encoding of the whole corpus with a public byte-level BPE vocabulary.
 
 The texts are cut into words by the tokenizer's own pattern; each distinct word is encoded once, by folding ranked merges
-over its array of bytes (each in hexadecimal) with higher-order functions; the ids go back to the texts by an equi-join on the salted word.
+over its array of bytes (each in hexadecimal) with higher-order functions; the ids go back to the texts by equi-joins, hot
+words by broadcast, the others, of which none has many rows, by a shuffle.
 The ranks are one literal: an array of small maps, because a lookup in a map takes time in proportion to its size.
 """
 
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from filingloom.plans.scratch import materialise
+
 #: Where the public vocabulary files lie.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 #: Maps that the ranks are spread over, a power of two.
 MAPS = 16384
-#: A word's rows are spread over so many keys, as one word may be a third of all.
-SALTS = 16
+#: A word that is more than one in so many of all is joined by broadcast: there are fewer such words than this.
+HOT = 1000
 #: The words of the vocabulary's pattern, for Java; white space is Unicode's there too.
 WORDS = "(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 NONE = 2**31 - 1
@@ -58,20 +61,20 @@ def _rank(table: Column, piece: Column) -> Column:
     return F.coalesce(F.try_element_at(F.get(table, _slot(piece)), piece), F.lit(NONE))
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of distinct words: while two neighbours make a piece, the pair of the lowest rank is merged.
+def encode_words(words: DataFrame, path: str, *kept: str) -> DataFrame:
+    """(word, ids, kept columns) of distinct words: while two neighbours make a piece, the pair of the lowest rank is merged.
 
     Each step looks up only the two pairs that a merge makes, so a word of n bytes takes n steps over arrays of its
     length. The empty word has no ids; null words are left out.
     """
     table = rank_table(path)
-    one = words.where(F.col("word").isNotNull()).select("word", F.hex(F.encode("word", "UTF-8")).alias("b"))
+    one = words.where(F.col("word").isNotNull()).select("word", *kept, F.hex(F.encode("word", "UTF-8")).alias("b"))
     pieces = F.regexp_extract_all("b", F.lit(".."), F.lit(0))
     start = one.withColumn("p", pieces)
     pairs = F.when(F.size("p") < 2, F.array().cast("array<int>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.size("p") - 1), lambda i: _rank(table, F.concat(F.element_at("p", i), F.element_at("p", i + 1))))
     )
-    begun = start.select("word", F.struct(F.col("p"), pairs.alias("r")).alias("s"), F.size("p").alias("n"))
+    begun = start.select("word", *kept, F.struct(F.col("p"), pairs.alias("r")).alias("s"), F.size("p").alias("n"))
 
     def merge(s: Column, low: Column) -> Column:
         p, r = s["p"], s["r"]
@@ -92,8 +95,8 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         return _let(F.coalesce(F.array_min(s["r"]), F.lit(NONE)), lambda low: F.when(low == NONE, s).otherwise(merge(s, low)))
 
     steps = F.when(F.col("n") < 2, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(2), F.col("n")))
-    folded = begun.select("word", F.aggregate(steps, F.col("s"), step, lambda s: s["p"]).alias("p"))
-    return folded.select("word", F.transform("p", lambda x: _rank(table, x)).alias("ids"))
+    folded = begun.select("word", *kept, F.aggregate(steps, F.col("s"), step, lambda s: s["p"]).alias("p"))
+    return folded.select("word", *kept, F.transform("p", lambda x: _rank(table, x)).alias("ids"))
 
 
 def encode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
@@ -102,13 +105,15 @@ def encode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     A null key keeps its row. Only the two columns are read.
     """
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    listed = docs.select("key", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    rows = listed.select("key", salt.alias("salt"), F.posexplode_outer("words").alias("pos", "word"))
-    words = rows.where("word IS NOT NULL").select("word").distinct()
-    coded = encode_words(words, path).select("word", "ids", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.join(coded, ["word", "salt"], "left")
-    own = joined.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("got"))
+    rows = docs.select("key", F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("pos", "word"))
+    counts = rows.groupBy("word").agg(F.count("*").alias("times"))
+    coded = materialise(encode_words(counts, path, "times"), "encoded-words")
+    total = coded.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    hot = coded.where(F.col("times") * HOT > total).select("word", "ids")
+    often = rows.join(F.broadcast(hot), "word").select("key", "pos", "ids")
+    seldom = rows.join(F.broadcast(hot.select("word")), "word", "left_anti").join(coded.select("word", "ids"), "word").select("key", "pos", "ids")
+    each = docs.select("key", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("array<int>").alias("ids"))
+    own = often.unionByName(seldom).unionByName(each).groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("ids").isNotNull(), F.struct("pos", "ids")))).alias("got"))
     return own.select(F.col("key").alias(key), F.flatten(F.transform("got", lambda x: x["ids"])).alias("ids"))
 
 
