@@ -119,8 +119,9 @@ def points(flat: np.ndarray, starts: np.ndarray) -> list[bytes]:
         own = (sizes > above) & (sizes <= limits[k + 1][0] if k + 1 < len(limits) else True)
         ids = np.flatnonzero(own)
         place = np.cumsum(own) - 1
-        for a in range(0, len(ids), 4096):  # a few MB at a time
-            some = ids[a : a + 4096]
+        step = (1 << 20) // groups  # a few MB at a time
+        for a in range(0, len(ids), step):
+            some = ids[a : a + step]
             mine = own[rec] & (rec >= some[0]) & (rec <= some[-1])
             for i, row in zip(some, _packed(flat[mine], place[rec[mine]] - a, len(some), groups)):
                 out[i] = row.tobytes()
@@ -138,8 +139,8 @@ def folded(counts: np.ndarray, excess: np.ndarray, groups: int) -> tuple[np.ndar
     """The same points with fewer groups."""
     if counts.shape[1] == groups:
         return counts, excess
-    total = counts.reshape(len(counts), -1, groups).sum(axis=1, dtype=np.int64)
-    return np.minimum(total, TOP).astype(np.uint8), excess + np.maximum(total - TOP, 0).sum(axis=1)
+    total = counts.reshape(len(counts), -1, groups).sum(axis=1, dtype=np.int16)
+    return np.minimum(total, TOP).astype(np.uint8), excess + np.maximum(total - TOP, 0).sum(axis=1, dtype=np.int64)
 
 
 class Points:
@@ -214,17 +215,22 @@ class CountRTree:
         levels = self.levels
         a, b = np.triu_indices(len(levels[-1][3]))
         for level in range(len(levels) - 1, -1, -1):
-            at = levels[level]
-            keep = [self.may(tuple(x[a[s : s + 65_536]] for x in at), tuple(x[b[s : s + 65_536]] for x in at), similarity) for s in range(0, len(a), 65_536)]
-            keep = np.concatenate(keep) if keep else np.empty(0, bool)
-            a, b = a[keep], b[keep]
+            if level == len(levels) - 1:
+                keep = self.may(tuple(x[a] for x in levels[level]), tuple(x[b] for x in levels[level]), similarity)
+                a, b = a[keep], b[keep]
             if not level:
                 break
-            below = len(levels[level - 1][3])
+            # the pairs of children, a slice of boxes at a time
+            low, below = levels[level - 1], len(levels[level - 1][3])
             i, j = np.divmod(np.arange(NODE * NODE), NODE)
-            na, nb = (NODE * a[:, None] + i).ravel(), (NODE * b[:, None] + j).ravel()
-            ok = (na < below) & (nb < below) & (na <= nb)
-            a, b = na[ok], nb[ok]
+            kept_a, kept_b = [], []
+            for s in range(0, len(a), 256):
+                na, nb = (NODE * a[s : s + 256, None] + i).ravel(), (NODE * b[s : s + 256, None] + j).ravel()
+                ok = np.flatnonzero((na < below) & (nb < below) & (na <= nb))
+                ok = ok[self.may(tuple(x[na[ok]] for x in low), tuple(x[nb[ok]] for x in low), similarity)]
+                kept_a.append(na[ok])
+                kept_b.append(nb[ok])
+            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (kept_a, kept_b))
         other = a != b
         return self.order[a[other]], self.order[b[other]]
 
@@ -313,7 +319,7 @@ def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
                 continue
             held.append(pa.Table.from_batches([batch]))
             rows += batch.num_rows
-            if rows >= 200_000:  # all but the last token, whose rows may go on
+            if rows >= 50_000:  # all but the last token, whose rows may go on
                 table = pa.concat_tables(held).combine_chunks()
                 keys = table.column("key").to_numpy()
                 end = int(np.searchsorted(keys, keys[-1]))
