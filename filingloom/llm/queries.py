@@ -82,6 +82,12 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_a"), F.col("id_b").alias("chunk_b"))
 
 
+def p2_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar chunks of every chunk with a usable vector, however far they are."""
+    found = neighbours.nearest(_read(spark, sf, "chunks"), "chunk_id", "vector", min_cos=None)
+    return found.select(F.col("id").alias("chunk_id"), "neighbour", "cos")
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     elements = _read(spark, sf, "elements").select(F.lit("elements").alias("tbl"), "id", F.col("content").alias("text"))
     joined = F.array_join(F.transform("blocks", lambda b: b["content"]), "\n")
@@ -89,7 +95,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return nearcopies.near_pairs(elements.unionByName(chunks))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p6_decoded, p7_found, p7_reparameterised, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_neighbours, p3_found, p3_consistent, p4_found, p4_pieces, p5_found, p5_pages, p6_ids, p6_decoded, p7_found, p7_reparameterised, p8_found)}
 
 _P4 = " UNION ALL ".join(
     f"SELECT DISTINCT '{t}' AS tbl, {k} AS row_key FROM {t} WHERE length(content) // 4 > 512"

@@ -128,6 +128,26 @@ def test_nearest_of_nothing(spark):
     assert neighbours.nearest(spark.createDataFrame([], "chunk_id string, vector array<float>"), "chunk_id", "vector").collect() == []
 
 
+def test_every_vector_has_its_neighbours(spark):
+    rng = np.random.default_rng(4)
+    subjects = rng.standard_normal((12, 64))
+    far = [(f"far{i:03}", [float(x) for x in subjects[i % 12] + rng.standard_normal(64)]) for i in range(500)]
+    rows = _vectors() + far
+    df = spark.createDataFrame(rows + rows[:5] + [("null", None), ("zero", [0.0] * 64)], "chunk_id string, vector array<float>")
+    want = _brute_nearest(rows, least=-1)
+    assert len(want) == 5 * len(rows)
+    got = neighbours.nearest(df, "chunk_id", "vector", min_cos=None).collect()
+    assert {(r["id"], r["neighbour"]) for r in got} == want and len(got) == len(want)  # one cell: exact
+    # hot cells in tiles, none left out: all cells are visited
+    tiled = neighbours.nearest(df, "chunk_id", "vector", min_cos=None, cell=40, visits=1000).collect()
+    assert {(r["id"], r["neighbour"]) for r in tiled} == want
+    some = neighbours.nearest(df, "chunk_id", "vector", min_cos=None, cell=40, visits=8).collect()
+    assert len({(r["id"], r["neighbour"]) for r in some} & want) >= 0.95 * len(want)
+    floor = {(r["id"], r["neighbour"]) for r in neighbours.nearest(df, "chunk_id", "vector", min_cos=0.5).collect()}
+    assert floor == _brute_nearest(rows, least=0.5)
+    assert neighbours.nearest(df.limit(0), "chunk_id", "vector", min_cos=None).collect() == []
+
+
 def test_chi_square_quantile():
     assert abs(neighbours.chi_square_quantile(0.95, 8) - 15.507) < 0.01
 
