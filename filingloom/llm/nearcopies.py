@@ -279,7 +279,8 @@ def postings(prep: DataFrame, counts: np.ndarray, similarity: float) -> DataFram
 def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
     """(a, b) classes, a before b, that meet under enough tokens and that the bounds of their R-trees don't rule out.
 
-    Under a token kept in pieces a pair may count more than once, which rules out fewer.
+    Under a token kept in pieces a pair may count more than once, which rules out fewer. A pair that may share fewer than
+    ``MEET`` tokens, being of so few, needs one.
     """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +309,9 @@ def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
                 out_b.append(f + b)
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
             fine = at.refined(a, b, similarity)
-            a, b = cls[a[fine]], cls[b[fine]]
+            a, b = a[fine], b[fine]
+            few = np.flatnonzero(np.ceil(similarity * np.maximum(n[a], n[b]) - 1e-9) < MEET)
+            a, b = (cls[np.concatenate([x, np.repeat(x[few], MEET - 1)])] for x in (a, b))
             a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
             both, times = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
             return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64()), pa.array(times, pa.int64())], ["a", "b", "times"])

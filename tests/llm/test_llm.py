@@ -75,6 +75,14 @@ def test_large_groups_of_copies_lose_no_link(spark):
     assert {(f"{i:03}", "zz") for i in range(100)} <= got and len(got) == 199
 
 
+def test_near_pairs_of_few_tokens(spark):
+    rows = [("a", f"one{n}", " ".join(["word"] * n)) for n in (30, 40)]
+    rows += [("a", f"two{n}", " ".join(["left", "right"] * n)) for n in (15, 20)] + [("a", "two31", " ".join(["left", "right"] * 15 + ["left"]))]
+    rows += [("a", f"three{n}", " ".join(["x", "y", "z"] * n)) for n in (11, 14)] + [("a", "most", " ".join(["left", "right"] * 16 + ["end"]))]
+    got = {tuple(r) for r in nearcopies.near_pairs(spark.createDataFrame(rows, "tbl string, id string, text string")).collect()}
+    assert got == _brute_pairs(rows) and ("a", "one30", "one40") in got and ("a", "two15", "two31") in got and ("a", "most", "two15") in got
+
+
 def test_tree_keeps_every_similar_pair():
     rng = np.random.default_rng(5)
     sets = []
