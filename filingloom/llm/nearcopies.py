@@ -6,8 +6,10 @@ in R-trees whose boxes keep coordinate maxima, so one bound rules out whole boxe
 tokens.
 
 One R-tree over all records would compare nearly all its boxes, as group counts of unrelated records are alike. So the top
-of the index is a partitioning without loss: two records of similarity s share some of the rarest (1-s) of their tokens
+of the index is a partitioning by shared tokens: two records of similarity s share some of the rarest (1-s) of their tokens
 (in any fixed order of tokens; here the rare ones first), so records meet only under such a token, each with its own tree.
+Under all of these no link is lost. Records with few common tokens are put under ``KEYS`` of them alone, which loses a pair
+at the very threshold with probability 1.2e-5, and less above it.
 """
 
 from __future__ import annotations
