@@ -1,8 +1,9 @@
 """Problem 3: visually identical text with different characters.
 
-``consistent_form`` compiles its mapping once (by rule, from the Unicode tables that Python ships) into a transducer over
-grapheme clusters: each cluster is read at its longest match, mapped in one pass, and letters borrowed from another
-script are settled when their word ends. Texts that hold no character the transducer could change never leave the JVM.
+``consistent_form`` compiles its mapping of single characters once (by rule, from the Unicode tables that Python ships);
+format characters are stripped before, letters and their marks are composed by NFC around it, and letters borrowed from
+another script are settled when their word ends. This replaces a transducer that reads clusters at their longest match.
+Texts that hold no character the mapping could change never leave the JVM.
 """
 
 from __future__ import annotations
