@@ -58,7 +58,7 @@ def is_regulator_url(text: Column) -> Column:
 
 def is_pdf(text: Column) -> Column:
     """A document whose first characters, after white space, are those of a PDF file."""
-    return F.coalesce(F.regexp_replace(F.substring(text, 1, 1024), "(?U)^\\s+", "").startswith("%PDF"), F.lit(False))
+    return F.coalesce(text.rlike("(?U)^\\s*+%PDF"), F.lit(False))
 
 
 def decoded(raw: Column) -> Column:

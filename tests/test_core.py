@@ -149,6 +149,13 @@ def test_text_columns(spark):
     assert one(spark, "5.2", sections.item_code_8k) == "5.02" and one(spark, "9.01a", sections.item_code_8k) == "9.01A"
 
 
+def test_pdf_behind_much_white_space(spark):
+    from filingloom.functions.text import is_pdf
+
+    df = spark.createDataFrame([(" \n" * 3000 + "%PDF-1.7", True), ("%PDF", True), ("\n" * 5000 + "<p>%PDF</p>", False), ("a\n%PDF", False), ("", False), (None, False)], "t string, want boolean")
+    assert df.where(is_pdf(F.col("t")) != F.col("want")).count() == 0
+
+
 def test_filings_frame(spark):
     rows = [("a", "10-K", "<p>x</p>", 1), ("a", "10-K", "<p>y</p>", 2), ("b", "8-K", None, 1), ("c", "8-K", "%PDF-1", 1), (None, "8-K", "<p>z</p>", 1), ("d", "8-K", "", 1)]
     df = spark.createDataFrame(rows, "doc_id string, filing_type string, html string, loaded_at long").withColumn("content", F.lit("clash"))
