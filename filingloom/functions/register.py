@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingloom.operators import chunks, render
+from filingloom.operators import annotate, chunks, render, sections
 
 
 @F.pandas_udf(T.StringType())
@@ -26,12 +26,30 @@ def chunk_text(s: pd.Series, size: pd.Series, overlap: pd.Series) -> pd.Series:
     def one(text: str | None, size: int, overlap: int) -> list[str] | None:
         if text is None:
             return None
-        blocks = [chunks.Block("Header" if x.startswith("#") else "Text", x, 0) for x in text.split("\n")]
-        return ["\n".join(b.content for b in c) for c in chunks.Packer(blocks, size, overlap).done]
+        return ["\n".join(b.content for b in c) for c in chunks.Packer(chunks.blocks_of(text), size, overlap).done]
 
     return pd.Series([one(*x) for x in zip(s, size, overlap)])
 
 
+@F.pandas_udf(T.StringType())
+def flatten_note(s: pd.Series) -> pd.Series:
+    return s.map(annotate.flatten_note, na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def table_markdown(s: pd.Series) -> pd.Series:
+    """Markdown of a document that is one table; what isn't one is an error."""
+    return s.map(render.table_markdown, na_action="ignore")
+
+
+@F.udtf(returnType="exhibit_no string, description string")
+class Exhibits:
+    """The exhibits that the text of an item 9.01 lists, for LATERAL joins."""
+
+    def eval(self, text: str) -> Iterator[tuple]:
+        yield from sections.exhibit_rows(text or "")
+
+
 @F.udtf(returnType="page int, seq int, text string, tag string, note string")
 class ParseSegments:
     """The segments of a document, for LATERAL joins."""
@@ -62,6 +80,9 @@ class TableRows:
 def register(spark: SparkSession) -> None:
     spark.udf.register("html_to_markdown", html_to_markdown)
     spark.udf.register("chunk_text", chunk_text)
+    spark.udf.register("flatten_note", flatten_note)
+    spark.udf.register("table_markdown", table_markdown)
+    spark.udtf.register("exhibits", Exhibits)
     spark.udtf.register("parse_segments", ParseSegments)
     spark.udtf.register("table_rows", TableRows)
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION estimate_tokens(t STRING) RETURNS INT RETURN greatest(1, cast(floor(coalesce(length(t), 0) / 4) AS INT))")

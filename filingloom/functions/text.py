@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-BLOCK_TAGS = ["div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "table", "br", "hr", "ul", "ol", "li"]
 MIME_TYPES = {
     "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif",
     "svg": "image/svg+xml", "webp": "image/webp", "bmp": "image/bmp", "tiff": "image/tiff",
@@ -38,10 +37,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, stripped), lambda s: s != "")
 
 
-def is_table_line(line: Column) -> Column:
-    return line.contains("|")
-
-
 def is_numeric(text: Column) -> Column:
     """A whole cell that is one number, with sign, currency, thousands and per cent."""
     return text.rlike(NUMERIC)
@@ -66,71 +61,6 @@ def decoded(raw: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(raw.cast("string")), "\\uFFFD", "")
 
 
-def is_block(tag: Column) -> Column:
-    return tag.isin(BLOCK_TAGS)
-
-
-def _compact(style: Column) -> Column:
-    return F.replace(F.lower(F.coalesce(style, F.lit(""))), F.lit(" "), F.lit(""))
-
-
-def is_bold(tag: Column, style: Column) -> Column:
-    """b, strong, or a style that says so without a blank after the colon."""
-    low = F.lower(F.coalesce(style, F.lit("")))
-    return low.contains("font-weight:700") | low.contains("font-weight:bold") | tag.isin("b", "strong")
-
-
-def is_italic(tag: Column, style: Column) -> Column:
-    return F.lower(F.coalesce(style, F.lit(""))).contains("font-style:italic") | tag.isin("i", "em")
-
-
-def emphasis(bold: Column, italic: Column) -> Column:
-    return F.when(bold & italic, "***").when(bold, "**").when(italic, "*").otherwise("")
-
-
-def is_positioned(style: Column) -> Column:
-    return _compact(style).contains("position:absolute")
-
-
-def is_inline_display(style: Column) -> Column:
-    s = _compact(style)
-    return s.contains("display:inline-block") | s.contains("display:inline;")
-
-
-def breaks_before(style: Column) -> Column:
-    return _compact(style).rlike("page-break-before:always|break-before:(page|always)")
-
-
-def breaks_after(style: Column) -> Column:
-    return _compact(style).rlike("page-break-after:always|break-after:(page|always)")
-
-
-def is_hidden(style: Column) -> Column:
-    return _compact(style).contains("display:none")
-
-
-def top_px(style: Column, height: float = 10000.0) -> Column:
-    """Distance from the top; from the bottom it is ``height`` less; null without either."""
-    s = _compact(style)
-
-    def at(side: str) -> Column:
-        return F.nullif(F.regexp_extract(s, f"(?:^|;){side}:(\\d+(?:\\.\\d+)?)px", 1), F.lit("")).cast("double")
-
-    return F.coalesce(at("top"), F.lit(height) - at("bottom"))
-
-
-def is_note_tag(tag: Column, name: Column) -> Column:
-    """A tagged text block of the two vocabularies that notes use."""
-    return (tag == "ix:nonnumeric") & name.contains("TextBlock") & name.rlike("^(us-gaap|cyd):")
-
-
-def note_title(name: Column, text: Column) -> Column:
-    """The tag's own text if short, else the concept's name in separate words."""
-    concept = F.regexp_replace(F.regexp_replace(name, "^[^:]*:", ""), "TextBlock$", "")
-    spaced = F.trim(F.regexp_replace(concept, "([A-Z])", " $1"))
-    return F.when((F.length(text) > 0) & (F.length(text) < 200), text).otherwise(spaced)
-
-
 def plausible_page(n: Column, least: int = 1) -> Column:
     """A page number rather than a year."""
     return n.between(least, 9999) & ~n.between(1900, 2100)
@@ -149,13 +79,6 @@ def element_id(prefix: str, page: Column, idx: Column, content: Column, kind: Co
     return F.concat(F.lit(f"{prefix}-p"), page.cast("string"), F.lit("-"), letter, idx.cast("string"), F.lit("-"), F.substring(F.sha1(F.encode(norm, "UTF-8")), 1, 8))
 
 
-def is_bold_header(content: Column) -> Column:
-    """A first line that is wholly bold, short, and at most one sentence."""
-    first = stripped(F.split(stripped(content), "\n")[0])
-    inner = stripped(first.substr(F.lit(3), F.length(first) - 4))
-    return first.rlike("^\\*\\*.*\\*\\*$") & (F.length(first) >= 4) & (F.length(inner) < 50) & (F.regexp_count(inner, F.lit("\\.")) <= 1)
-
-
 def minify_table(table: Column) -> Column:
     """Cells trimmed, blank lines dropped, and the second line of the text replaced by a separator.
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import escape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filingloom.functions.text import is_url, mime_type
 from filingloom.operators import elements, render
 from filingloom.operators.dom import COMMENT, TEXT, VOID
 
@@ -94,8 +95,6 @@ def image_refs(df: DataFrame, doc: str = "doc_id", html: str = "html", url: str
 
 def embed_images(df: DataFrame, assets: DataFrame, doc: str = "doc_id", html: str = "html", url: str = "url") -> DataFrame:
     """(doc_id, html) with images as data URIs; ``assets`` has (path, content) as Spark reads binary files. Missing ones stay."""
-    from filingloom.functions.text import mime_type
-
     found = image_refs(df, doc, html, url).join(assets.select(F.col("path").alias("resolved"), "content"), "resolved")
     uris = found.select("doc_id", "src", F.concat(F.lit("data:"), mime_type(F.col("src")), F.lit(";base64,"), F.base64("content")).alias("uri"))
     by_doc = uris.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("src", "uri"))).alias("r"))
@@ -104,6 +103,35 @@ def embed_images(df: DataFrame, assets: DataFrame, doc: str = "doc_id", html: st
     return joined.select("doc_id", text.alias("html"))
 
 
+def fetch_images(refs: DataFrame, get: Callable[[str], bytes], parallel: int | None = None) -> DataFrame:
+    """(path, content) of the addresses in ``resolved``, each fetched once, by the executors; those that fail are left out.
+
+    With :func:`embed_images` this embeds images that no folder holds.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path in pdf["path"]:
+                try:
+                    yield pd.DataFrame({"path": [path], "content": [get(path)]})
+                except OSError:  # one image that fails must not end the job
+                    continue
+
+    asked = refs.where(is_url(F.col("resolved"))).select(F.col("resolved").alias("path")).distinct()
+    return (asked.repartition(parallel, "path") if parallel else asked).mapInPandas(run, "path string, content binary")
+
+
+def write_highlighted(df: DataFrame, ids: DataFrame, path: str) -> None:
+    """Documents (doc_id, html) with the elements of ``ids`` (doc_id, element_id) highlighted, one folder for each document.
+
+    Documents without an id are written as they are; null documents are left out.
+    """
+    wanted = ids.groupBy("doc_id").agg(F.sort_array(F.collect_set("element_id")).alias("ids"))
+    out = df.where(F.col("html").isNotNull()).select("doc_id", "html").join(wanted, "doc_id", "left")
+    text = F.coalesce(highlighted(F.col("html"), F.col("ids")), F.col("html"))
+    out.select("doc_id", text.alias("value")).write.mode("overwrite").option("lineSep", "\n").partitionBy("doc_id").text(path)
+
+
 def flatten_note(html: str | None) -> str | None:
     """The cells of a note that is wrapped into a table, one after another; null if there is no such table."""
     if html is None:

@@ -11,11 +11,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
-from filingloom.functions.text import embedding_text, minify_table, tokens
+from filingloom.functions.text import embedding_text, minify_table, stripped, tokens
 
 SIZE, OVERLAP, MAX_TABLE, CONTEXT, CONTEXT_TEXTS = 512, 128, 2048, 128, 2
 SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
@@ -205,10 +208,25 @@ def text_blocks(pages: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.withColumn("element_ids", F.array().cast("array<string>"))
 
 
-def element_blocks(elements: DataFrame, keys: list[str], max_table: int = MAX_TABLE) -> DataFrame:
+def blocks_of(text: str, page: int = 0) -> list[Block]:
+    """The blocks of one text, as :func:`text_blocks` makes them of one page."""
+    out: list[Block] = []
+    for line in text.split("\n"):
+        kind = "Header" if line.startswith("#") else "Table" if "|" in line else "Text"
+        if kind == "Table" and out and out[-1].kind == "Table":
+            out[-1].content += f"{line}\n"
+        else:
+            out.append(Block(kind, f"{line}\n" if kind == "Table" else line, page))
+    for b in out:
+        b.content = minified(b.content) if b.kind == "Table" else b.content
+    return out
+
+
+def element_blocks(elements: DataFrame, keys: list[str], max_table: int = MAX_TABLE, pages: DataFrame | None = None) -> DataFrame:
     """(keys, seq, block_type, page, content, element_ids) from elements, ordered by offset, those without one last.
 
-    Tables above ``max_table`` tokens become parts with ids ``<id>:part-n``.
+    Tables above ``max_table`` tokens become parts with ids ``<id>:part-n``. ``pages`` of (keys, number, content): a page
+    without an element gives the blocks of its text instead. Elements with a null content give none.
     """
     order = W.partitionBy(*keys).orderBy("page", F.col("start_offset").asc_nulls_last(), "seq")
     ranked = elements.where(F.col("content").isNotNull()).withColumn("at", F.row_number().over(order))
@@ -221,7 +239,13 @@ def element_blocks(elements: DataFrame, keys: list[str], max_table: int = MAX_TA
     cut = ranked.withColumn("block_type", kind).withColumn("parts", F.coalesce(parts(F.when(F.col("kind") == "table", F.col("content"))), F.array("content")))
     rows = cut.select(*keys, "at", "page", "id", "block_type", F.size("parts").alias("n"), F.posexplode("parts").alias("part", "content"))
     ident = F.when(F.col("n") > 1, F.concat("id", F.lit(":part-"), F.col("part").cast("string"))).otherwise(F.col("id"))
-    return rows.select(*keys, (F.col("at") * 100_000 + F.col("part")).alias("seq"), "block_type", "page", "content", F.array(ident).alias("element_ids"))
+    rows = rows.select(*keys, "at", "part", "block_type", "page", "content", F.array(ident).alias("element_ids"))
+    if pages is not None:
+        bare = pages.select(*keys, F.col("number").alias("page"), "content").join(ranked.select(*keys, "page").distinct(), [*keys, "page"], "left_anti")
+        lines = text_blocks(bare.select(*keys, F.col("page").alias("own_page"), F.col("page").alias("number"), "content"), [*keys, "own_page"])
+        rows = rows.unionByName(lines.select(*keys, F.lit(0).alias("at"), F.col("seq").cast("int").alias("part"), "block_type", "page", "content", "element_ids"))
+    seq = F.row_number().over(W.partitionBy(*keys).orderBy("page", "at", "part"))
+    return rows.select(*keys, seq.alias("seq"), "block_type", "page", "content", "element_ids")
 
 
 CHUNK = "index int, header string, blocks array<struct<block_type:string,page:int,content:string>>, element_ids array<string>"
@@ -235,46 +259,118 @@ def chunk(blocks: DataFrame, keys: list[str], size: int = SIZE, overlap: int = O
     """
     rows = blocks.where(F.col("content").isNotNull()).select(*keys, F.struct("seq", F.col("block_type").alias("t"), F.col("page").alias("p"), F.col("content").alias("c"), F.coalesce("element_ids", F.array().cast("array<string>")).alias("e")).alias("b"), (F.lit(None).cast("string") if header is None else header).alias("header"))
     held = rows.groupBy(*keys).agg(F.sort_array(F.collect_set("b")).alias("b"), F.max("header").alias("header"))
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.select(*keys).schema)
+    schema = StructType([*held.select(*keys).schema.fields, *_parse_datatype_string(CHUNK).fields])
+    kinds = to_arrow_schema(schema)
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for _, r in pdf.iterrows():
-                own = [Block(x["t"], x["c"], x["p"], list(x["e"])) for x in r["b"]]
-                for i, c in enumerate(Packer(own, size, overlap).done):
+            for *own, listed, head in zip(*(batch.column(c).to_pylist() for c in [*keys, "b", "header"])):
+                packed = Packer([Block(x["t"], x["c"], x["p"], x["e"]) for x in listed], size, overlap).done
+                for i, c in enumerate(packed):
                     ids = list(dict.fromkeys(e for b in c for e in b.ids))
-                    out.append((*[r[k] for k in keys], i, r["header"], [{"block_type": b.kind, "page": b.page, "content": b.content} for b in c], ids))
-            yield pd.DataFrame(out, columns=[*keys, "index", "header", "blocks", "element_ids"])
+                    out.append((*own, i, head, [{"block_type": b.kind, "page": b.page, "content": b.content} for b in c], ids))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
 
-    return held.mapInPandas(pack, f"{fields}, {CHUNK}")
+    return held.mapInArrow(pack, schema)
 
 
-def chunk_columns(chunks: DataFrame, display: DataFrame | None = None, tags: DataFrame | None = None) -> DataFrame:
-    """Chunks with content, pages, tokens, flags and the text to embed; with display pages and tags where given.
+def chunk_notes(notes: DataFrame, elements: DataFrame, size: int = SIZE, overlap: int = OVERLAP, header: Column | None = None) -> DataFrame:
+    """Chunks of notes (doc_id, name, element_ids), from their elements, grouped by the page on which each starts.
 
-    display: (doc_id, number, display_page); tags: (id, tags) of elements.
+    Unknown ids are left out; a note without a known element has no chunk.
     """
+    listed = notes.select("doc_id", "name", F.posexplode("element_ids").alias("seq", "id"))
+    own = listed.join(elements.select("doc_id", "id", F.col("page_start").alias("page"), "content", "kind", "start_offset").distinct(), ["doc_id", "id"])
+    return chunk(element_blocks(own, ["doc_id", "name"]), ["doc_id", "name"], size, overlap, header)
+
+
+def chunk_columns(chunks: DataFrame, display: DataFrame | None = None, elements: DataFrame | None = None) -> DataFrame:
+    """Chunks with content, pages, tokens, flags, the contents by page and the text to embed.
+
+    display: (doc_id, number, display_page) adds the pages' printed numbers, those of the first and last too; null where
+    none is known. elements: (id, kind, page_start, page_end, tags) adds tags and images, and gives the pages and whether
+    there is an image from the elements; a part of a cut table has its pages, but no tags. Without them an image is its
+    Markdown.
+    """
+    keys = [c for c in chunks.columns if c not in ("header", "blocks", "element_ids")]
     contents = F.transform("blocks", lambda b: b["content"])
     pages = F.array_distinct(F.transform("blocks", lambda b: b["page"]))
+    by_page = F.transform(F.array_sort(pages), lambda p: F.struct(p.alias("page"), F.array_join(F.transform(F.filter("blocks", lambda b: b["page"] == p), lambda b: b["content"]), "\n").alias("content")))
     out = chunks.withColumns({
         "content": F.array_join(contents, "\n"), "start_page": F.array_min(pages), "end_page": F.array_max(pages),
         "num_tokens": F.aggregate(contents, F.lit(0), lambda a, c: a + tokens(c)),
         "has_table": F.exists("blocks", lambda b: b["block_type"] == "Table"), "has_image": F.exists(contents, lambda c: c.rlike("!\\[[^\\]]*\\]\\([^)]*\\)")),
+        "page_contents": F.filter(by_page, lambda x: stripped(x["content"]) != ""),
     })
     out = out.withColumn("embedding_text", embedding_text(F.col("header"), F.col("content")))
+    if elements is not None:
+        part = F.regexp_extract("ref", "^(.*):part-\\d+$", 1)
+        flat = chunks.select(*keys, F.posexplode(F.array_distinct("element_ids")).alias("place", "ref")).withColumn("id", F.when(part != "", part).otherwise(F.col("ref")))
+        met = flat.join(elements.select("id", "kind", "page_start", "page_end", "tags").distinct(), "id")
+        found = met.groupBy(*keys).agg(
+            F.min("page_start").alias("first"), F.max("page_end").alias("last"),
+            F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("id") == F.col("ref"), F.col("tags")))))).alias("tags"),
+            F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") == "image", F.struct("place", "ref")))), lambda x: x["ref"]).alias("images"),
+        )
+        out = out.join(found, keys, "left").withColumns({
+            "start_page": F.coalesce("first", "start_page"), "end_page": F.coalesce("last", "end_page"), "has_image": F.coalesce(F.size("images") > 0, F.lit(False)),
+            "images": F.coalesce("images", F.array().cast("array<string>")), "tags": F.coalesce("tags", F.array().cast("array<string>")),
+        }).drop("first", "last")
     if display is not None:
-        shown = display.where(F.col("display_page").isNotNull()).groupBy("doc_id").agg(F.map_from_entries(F.array_distinct(F.collect_set(F.struct("number", "display_page")))).alias("m"))
-        out = out.join(shown, "doc_id", "left")
-        out = out.withColumn("display_page_map", F.map_filter("m", lambda k, _: (k >= F.col("start_page")) & (k <= F.col("end_page")))).drop("m")
-    if tags is not None:
-        keys = [c for c in chunks.columns if c not in ("header", "blocks", "element_ids")]
-        flat = chunks.select(*keys, F.explode("element_ids").alias("id")).join(tags.select("id", "tags"), "id")
-        found = flat.groupBy(*keys).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"))
-        out = out.join(found, keys, "left")
+        shown = display.where(F.col("display_page").isNotNull()).groupBy("doc_id").agg(F.map_from_entries(F.array_distinct(F.collect_set(F.struct("number", "display_page")))).alias("shown"))
+        own = F.map_filter("shown", lambda k, _: F.array_contains(F.transform("blocks", lambda b: b["page"]), k))
+        out = out.join(shown, "doc_id", "left").withColumn("display_page_map", F.when(F.size(own) > 0, own)).drop("shown")
+        at = [F.try_element_at("display_page_map", F.col(c)) for c in ("start_page", "end_page")]
+        out = out.withColumn("display_page_range", F.when(at[0].isNotNull() & at[1].isNotNull(), F.struct(at[0].alias("start"), at[1].alias("end"))))
     return out
 
 
+def block_span(contents: Column, whole: Column) -> Column:
+    """(start, end) in ``whole`` of texts that stand in it one after another; null where none is found.
+
+    Each is looked for after the one before, else with any white space for its own, else from the start. Blank texts
+    don't count.
+    """
+    def quoted(t: Column) -> Column:
+        return F.concat(F.lit("(?U)"), F.regexp_replace(F.regexp_replace(t, "[^\\p{L}\\p{N}\\s]", r"\\$0"), "(?U)\\s+", r"\\s+"))
+
+    def step(acc: Column, t: Column) -> Column:
+        after, first, loose = F.locate(t, whole, acc["at"] + 1), F.locate(t, whole), F.regexp_instr(whole, quoted(t))
+        start = F.when(after > 0, after).when(loose > 0, loose).when(first > 0, first)
+        long = F.when((after > 0) | (loose <= 0), F.length(t)).otherwise(F.length(F.regexp_extract(whole, quoted(t), F.lit(0))))
+        end = start - 1 + long
+        return F.when(start.isNull(), acc).otherwise(
+            F.struct(F.least(acc["start"], start - 1).alias("start"), F.greatest(acc["end"], end).alias("end"), end.alias("at"))
+        )
+
+    none = F.lit(None).cast("int")
+    texts = F.filter(F.transform(contents, stripped), lambda t: t != "")
+    found = F.aggregate(texts, F.struct(none.alias("start"), none.alias("end"), F.lit(0).alias("at")), step)
+    return F.when(found["start"].isNotNull(), F.struct(found["start"].alias("start"), found["end"].alias("end")))
+
+
+def located_elements(chunks: DataFrame, pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """(chunk's keys, page, id) of the elements whose offsets lie within what a chunk's blocks span on their page.
+
+    For chunks that carry no ids. pages: (doc_id, number, content); elements: (doc_id, page, id, start_offset, end_offset),
+    those without offsets are never found. A join on document and page; a page meets its own elements only.
+    """
+    keys = [c for c in chunks.columns if c not in ("header", "blocks", "element_ids")]
+    placed = chunks.select(*keys, F.posexplode("blocks").alias("place", "b"))
+    own = placed.groupBy(*keys, F.col("b.page").alias("page")).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "b.content"))), lambda x: x["content"]).alias("parts"))
+    spans = own.join(pages.select("doc_id", F.col("number").alias("page"), F.col("content").alias("whole")).distinct(), ["doc_id", "page"]).withColumn("span", block_span(F.col("parts"), F.col("whole")))
+    inside = (F.col("span.start") <= F.col("start_offset")) & (F.col("end_offset") <= F.col("span.end"))
+    there = elements.select("doc_id", "page", "id", "start_offset", "end_offset").distinct()
+    return spans.where("span IS NOT NULL").join(there, ["doc_id", "page"]).where(inside).select(*keys, "page", "id")
+
+
+def chunk_json(chunks: DataFrame) -> DataFrame:
+    """(json): a chunk with all its columns, nulls left out."""
+    return chunks.select(F.to_json(F.struct(*chunks.columns)).alias("json"))
+
+
 def attach_vectors(chunks: DataFrame, vectors: DataFrame, on: str) -> DataFrame:
     """Chunks with the column vector of ``vectors`` (on, vector); null where there is none."""
     return chunks.join(vectors.select(on, "vector"), on, "left")

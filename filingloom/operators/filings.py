@@ -4,48 +4,78 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from filingloom.functions.text import is_pdf, plausible_page, tokens
 from filingloom.operators import elements, render
 
-ELEMENT = "seq int, id string, content string, kind string, start_offset int, end_offset int, tags array<string>, note string, note_title string"
-PAGES = f"doc_id string, number int, content string, footer int, input_chars long, segments array<struct<text:string,tag:string,note:string>>, elements array<struct<{ELEMENT.replace(' ', ':').replace(',:', ',')}>>"
+ELEMENT = "seq:int,id:string,content:string,kind:string,start_offset:int,end_offset:int,tags:array<string>,note:string,note_title:string"
+PAGE = "doc_id string, number int, content string, footer int, input_chars long"
+SEGMENTS, ELEMENTS = "segments array<struct<text:string,tag:string,note:string>>", f"elements array<struct<{ELEMENT}>>"
+#: Characters of documents after which their pages are handed over, so that a batch of large documents doesn't add up.
+HELD_CHARS = 1 << 24
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` partitioned by ``key`` into ``spark.sql.shuffle.partitions`` partitions, however few bytes they hold.
+
+    For steps that take far more time than their bytes suggest, parsing or many patterns a line: else adaptive execution
+    would join small partitions into one task. Windows, groups and joins by ``key`` after it need no other shuffle.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(parts, key)
 
 
 def latest(df: DataFrame, key: str = "doc_id", order: str = "loaded_at") -> DataFrame:
     """One row for each key, the last delivered (ties: whichever is greatest as a whole); null keys are left out."""
     cols = [c for c in df.columns if c not in (key, order)]
-    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(order, *cols)).alias("r"))
+    best = spread(df.where(F.col(key).isNotNull()), key).groupBy(key).agg(F.max(F.struct(order, *cols)).alias("r"))
     return best.select(key, *[F.col(f"r.{c}").alias(c) for c in cols], F.col(f"r.{order}").alias(order))
 
 
-def parse_pages(df: DataFrame, doc: str = "doc_id", html: str = "html", with_elements: bool = True, images: bool = True, comments: bool = True, min_chars: int = elements.MIN_CHARS) -> DataFrame:
-    """A row per page: (doc_id, number, content, footer, input_chars, segments, elements).
+def parse_pages(
+    df: DataFrame, doc: str = "doc_id", html: str = "html", with_elements: bool = True, images: bool = True, comments: bool = True, min_chars: int = elements.MIN_CHARS, with_segments: bool = False
+) -> DataFrame:
+    """A row per page: (doc_id, number, content, footer, input_chars), with elements and segments where asked for.
 
     Null and empty documents give no page; PDF bytes are refused beforehand by :func:`split_pdf`. Pages that hold nothing
-    do not come out, so numbers may have gaps.
+    do not come out, so numbers may have gaps. Parsing is narrow: its tasks are the partitions of ``df``.
     """
     rows = df.where(F.col(html).isNotNull() & ~is_pdf(F.col(html))).select(F.col(doc).cast("string").alias("doc_id"), F.col(html).alias("html"))
+    schema = ", ".join([PAGE] + [SEGMENTS] * with_segments + [ELEMENTS] * with_elements)
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, text in zip(pdf["doc_id"], pdf["html"]):
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
+
+        def full() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+
+        for batch in batches:
+            for key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "html"))):
                 r = render.Renderer(text, images, comments)
-                out = []
                 for number, page in sorted(r.pages.items()):
                     content = render.content_of(page.segments)
-                    segments = [{"text": s.text, "tag": r.tree.tag[s.node] if s.node is not None else None, "note": s.note[0] if s.note else None} for s in page.segments]
-                    built = [{k: v for k, v in e.items() if k != "nodes"} for e in elements.build(page.segments, r, number, content, min_chars)] if with_elements else None
-                    out.append((key, number, content, page.footer, len(text), segments, built))
-                frame = pd.DataFrame(out, columns=["doc_id", "number", "content", "footer", "input_chars", "segments", "elements"])
-                frame["footer"] = frame["footer"].astype("Int32")
-                yield frame
-
-    return rows.mapInPandas(parse, PAGES)
+                    row = [key, number, content, page.footer, len(text)]
+                    if with_segments:
+                        row.append([{"text": s.text, "tag": r.tree.tag[s.node] if s.node is not None else None, "note": s.note[0] if s.note else None} for s in page.segments])
+                    if with_elements:
+                        row.append([{k: v for k, v in e.items() if k != "nodes"} for e in elements.build(page.segments, r, number, content, min_chars)])
+                    out.append(tuple(row))
+                held += len(text)
+                if out and held >= HELD_CHARS:
+                    yield full()
+                    out, held = [], 0
+        if out:
+            yield full()
+
+    return rows.mapInArrow(parse, schema)
 
 
 def split_pdf(df: DataFrame, html: str = "html") -> tuple[DataFrame, DataFrame]:
@@ -78,17 +108,18 @@ def display_pages(pages: DataFrame) -> DataFrame:
     rise: steps of one count double, other rises once, and the sum must be 0.8 of the steps.
     """
     by_doc, in_order = W.partitionBy("doc_id"), W.partitionBy("doc_id").orderBy("number")
-    found = pages.withColumn("candidate", page_candidate(F.col("content")))
+    found = pages.withColumns({"candidate": page_candidate(F.col("content")), "place": F.row_number().over(in_order)})
     before = F.last("candidate", ignorenulls=True).over(in_order.rowsBetween(W.unboundedPreceding, -1))
     step = F.col("candidate") - before
     scored = found.withColumn("score", F.when(step == 1, 2).when(step > 1, 1).when(step.isNotNull(), 0))
     n, total, sum_ = F.count("candidate").over(by_doc), F.count("score").over(by_doc), F.sum("score").over(by_doc)
-    valid = (n >= 5) & (sum_ >= 0.8 * total)
-    # parity: the candidate is looked up by position in the document's pages, not by number
-    at = F.get(F.transform(F.sort_array(F.collect_list(F.struct("number", "candidate")).over(by_doc)), lambda x: x["candidate"]), F.col("number") - 1)
-    footers = F.count("footer").over(by_doc)
-    shown = F.when(footers > 0, F.col("footer")).when(valid, at)
-    return scored.withColumn("display_page", shown).drop("candidate", "score")
+    judged = scored.withColumns({"valid": (n >= 5) & (sum_ >= 0.8 * total), "footers": F.count("footer").over(by_doc)})
+    # parity: the candidate is looked up by position in the document's pages, not by number. Each page tells its position
+    # what its candidate is and asks its number, so the lookup is a window in the same partitioning
+    two = judged.withColumn("at", F.explode(F.array(F.struct(F.col("place").alias("slot"), F.lit(False).alias("asks")), F.struct(F.col("number").alias("slot"), F.lit(True).alias("asks")))))
+    told = F.max(F.when(~F.col("at.asks"), F.col("candidate"))).over(W.partitionBy("doc_id", "at.slot"))
+    shown = F.when(F.col("footers") > 0, F.col("footer")).when(F.col("valid"), told)
+    return two.withColumn("display_page", shown).where("at.asks").drop("candidate", "place", "score", "valid", "footers", "at")
 
 
 def to_pages(df: DataFrame, **options) -> DataFrame:

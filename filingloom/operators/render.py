@@ -296,6 +296,15 @@ class Renderer:
             self.note = note
 
 
+def table_markdown(html: str) -> str:
+    """Markdown of a document that is one table; anything else raises ValueError."""
+    r = Renderer(html)
+    top = [n for n in r.tree.children[0] if r.tree.tag[n] not in (TEXT, COMMENT)]
+    if [r.tree.tag[n] for n in top] != ["table"]:
+        raise ValueError("not a table")
+    return r.table(top[0])
+
+
 def _join_marks(left: str, right: str) -> str | None:
     """Two spans of the same emphasis as one; None if they aren't."""
     a, b = left.rstrip(), right.lstrip()
@@ -314,13 +323,20 @@ def one_row(texts: list[str]) -> str:
     return " ".join(t for t in texts if t).strip()
 
 
+# The forms of page numbers in footers, with the least number of each, and of a bare heading at the top.
+FOOTERS = ((r"\|\s*(\d{1,4})\s*$", 1), (r"(?i)\bPage\s+(\d{1,4})\b", 1), (r"\b(\d{1,4})\s*$", 10))
+BREADCRUMBS = re.compile(
+    r"\A\s*(?:\*\*|__)?[^\S\n]*PART[^\S\n]+[IVXLC]+[^\S\n]*(?:\*\*|__)?[^\S\n]*\n\s*(?:\*\*|__)?[^\S\n]*ITEM[^\S\n]+\d{1,2}[A-Z]?(?:[^\S\n]*,[^\S\n]*\d{1,2}[A-Z]?)*[^\S\n]*(?:\*\*|__)?[^\S\n]*(?:\n\s*|\Z)", re.I
+)
+
+
 def plausible(n: int, least: int = 1) -> bool:
     return least <= n <= 9999 and not 1900 <= n <= 2100
 
 
 def footer_number(text: str) -> int | None:
     """The page number in a footer."""
-    for pattern, least in ((r"\|\s*(\d{1,4})\s*$", 1), (r"(?i)\bPage\s+(\d{1,4})\b", 1), (r"\b(\d{1,4})\s*$", 10)):
+    for pattern, least in FOOTERS:
         if (m := re.search(pattern, text)) and plausible(int(m[1]), least):
             return int(m[1])
     return None
@@ -336,11 +352,6 @@ def content_of(segments: list[Segment]) -> str:
     return without_breadcrumbs("\n".join(lines).strip()).strip()
 
 
-BREADCRUMBS = re.compile(
-    r"\A\s*(?:\*\*|__)?[^\S\n]*PART[^\S\n]+[IVXLC]+[^\S\n]*(?:\*\*|__)?[^\S\n]*\n\s*(?:\*\*|__)?[^\S\n]*ITEM[^\S\n]+\d{1,2}[A-Z]?(?:[^\S\n]*,[^\S\n]*\d{1,2}[A-Z]?)*[^\S\n]*(?:\*\*|__)?[^\S\n]*(?:\n\s*|\Z)", re.I
-)
-
-
 def without_breadcrumbs(content: str) -> str:
     """Without a bare PART line that a bare ITEM line follows, at the very top."""
     return BREADCRUMBS.sub("", content, count=1)

@@ -1,11 +1,14 @@
 """Sections of filings, in three forms: parts and items (10-K, 10-Q, 20-F), decimal items (8-K), plain items (SC 13D/G).
 
 All are windows over the lines of a document: header lines are events, the running number of events is the section, and
-state is carried by the last event. One shuffle by document; nothing runs in Python.
+state is carried by the last event. The three forms are marked in one pass over the same windows, so there is one scan, one
+shuffle by document and one sort of its lines; nothing runs in Python.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from filingloom.functions.text import tokens
 from filingloom.plans import dimensions
 
 STANDARD = ("10-K", "10-Q", "20-F")
+FORMS = (*STANDARD, "8-K", "SC 13D", "SC 13G")
 # What may stand before a header in its line, and the headers.
 LEAD = "(?:\\*\\*|__)?\\s*(?:</?[^>]+>\\s*)*"
 PART_LINE = f"(?i)^\\s*{LEAD}(PART\\s+[IVXLC]+)\\.?(?:\\*\\*|__)?(?:\\s|$)"
@@ -74,19 +78,14 @@ def item_code_8k(code: Column) -> Column:
     return F.when(c.rlike("^[1-9]\\.\\d{1,2}[A-Z]?$"), padded).otherwise(c)
 
 
-def _lines(pages: DataFrame, lines: Column) -> DataFrame:
-    return pages.select("doc_id", "filing_type", "number", F.posexplode(lines).alias("line_no", "line"))
-
-
-def _fragments(events: DataFrame, keep_header: bool) -> DataFrame:
+def _fragments(events: DataFrame) -> DataFrame:
     """Lines with the columns section, part, item, item_title: a row for each section and page, its lines joined.
 
     Lines before the first header belong to no section. Sections number the headers, so they may have gaps.
     """
-    own = events.where(F.col("section") > 0) if keep_header else events.where((F.col("section") > 0) & ~F.col("event"))
     head = F.first(F.col("item_title"), ignorenulls=True)
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    joined = own.groupBy("doc_id", "filing_type", "section", "number", "part", "item").agg(text.alias("content"), head.alias("item_title"))
+    joined = events.where(F.col("section") > 0).groupBy("doc_id", "filing_type", "section", "number", "part", "item").agg(text.alias("content"), head.alias("item_title"))
     return joined.withColumn("content", _trim(F.col("content"))).where(F.col("content") != "")
 
 
@@ -94,112 +93,110 @@ def _doc():
     return W.partitionBy("doc_id").orderBy("number", "line_no")
 
 
-def standard_fragments(pages: DataFrame) -> DataFrame:
-    """10-K, 10-Q, 20-F: (doc_id, filing_type, section, part, item, item_title, number, content).
+def _page():
+    return W.partitionBy("doc_id", "number").orderBy("line_no")
+
+
+def _some(flag: Column, window) -> Column:
+    return F.coalesce(F.max(F.when(flag, 1)).over(window), F.lit(0)) == 1
+
+
+def _standard_heads(lines: DataFrame) -> DataFrame:
+    """Lines with the columns part_here, head and gives_way, where the filing is of parts and items.
 
     A header is a PART line or an ITEM line with a title. A part that is the first header of its page and is followed by
-    an item there gives way to it. Sections without an item and of up to 80 characters are dropped, and so are those
-    whose part and item the filing type doesn't have.
+    an item there gives way to it.
     """
-    rows = pages.where(F.col("filing_type").isin(*STANDARD) & F.col("content").isNotNull() & ~is_toc(F.col("content"), F.col("number")))
-    lines = _lines(rows, clean_lines(F.col("content")))
-    part = F.nullif(F.regexp_extract("line", PART_LINE, 1), F.lit(""))
-    code, title = F.regexp_extract("line", ITEM_LINE, 1), _trim(F.regexp_extract("line", ITEM_LINE, 2))
+    own = F.col("filing_type").isin(*STANDARD)
+    part = F.when(own, F.nullif(F.regexp_extract("line", PART_LINE, 1), F.lit("")))
+    code, title = F.when(own, F.regexp_extract("line", ITEM_LINE, 1)), _trim(F.regexp_extract("line", ITEM_LINE, 2))
     before = F.concat_ws("\n", F.lag("line", 3).over(_doc()), F.lag("line", 2).over(_doc()), F.lag("line", 1).over(_doc()), F.lit(""))
-    page = W.partitionBy("doc_id", "number").orderBy("line_no")
     marked = lines.select(
         "*", F.upper(F.regexp_replace(part, "\\s+", " ")).alias("part_here"),
-        F.when((code != "") & (title != "") & ~title.rlike(ITEM_LIST), F.concat(F.lit("ITEM "), F.upper(code))).alias("titled"),
-        F.when(title != "", title).alias("title_here"), F.substring(before, -30, 30).rlike("(?i)\\bPart\\s+[IVXLC]+").alias("inline"),
+        F.when((code != "") & (title != "") & ~title.rlike(ITEM_LIST), F.struct(F.upper(code).alias("code"), title.alias("title"))).alias("titled"),
+        F.substring(before, -30, 30).rlike("(?i)\\bPart\\s+[IVXLC]+").alias("inline"),
     )
     # a reference just after a part's name only matters where no header of the page came before
-    started = F.coalesce(F.max(F.when(F.col("part_here").isNotNull() | (F.col("titled").isNotNull() & ~F.col("inline")), 1)).over(page.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    seen = marked.withColumn("item_here", F.when(F.col("titled").isNotNull() & (~F.col("inline") | (started == 1)), F.col("titled")))
+    earlier = _page().rowsBetween(W.unboundedPreceding, -1)
+    started = _some(F.col("part_here").isNotNull() | (F.col("titled").isNotNull() & ~F.col("inline")), earlier)
+    seen = marked.withColumn("item_here", F.when(~F.col("inline") | started, F.col("titled")))
     event = F.col("part_here").isNotNull() | F.col("item_here").isNotNull()
-    first = F.coalesce(F.max(F.when(event, 1)).over(page.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) == 0
-    later = F.coalesce(F.max(F.when(F.col("item_here").isNotNull(), 1)).over(page.rowsBetween(1, W.unboundedFollowing)), F.lit(0)) == 1
-    events = seen.withColumns({"event": event, "gives_way": F.col("part_here").isNotNull() & first & later})
-    carried = events.withColumns({
-        "section": F.sum(F.col("event").cast("int")).over(_doc()),
-        "part": F.last("part_here", ignorenulls=True).over(_doc()),
-        "header": F.last(F.when(F.col("event"), F.struct("item_here", "title_here", "gives_way")), ignorenulls=True).over(_doc()),
-    })
-    item = F.col("header.item_here")
-    held = carried.where(~F.col("header.gives_way")).select(
-        "doc_id", "filing_type", "number", "line_no", "line", "event", "section", F.coalesce(infer_part(F.col("filing_type"), item), F.col("part")).alias("part"),
-        item.alias("item"), F.when(item.isNotNull(), clean_title(F.col("header.title_here"))).alias("item_title"),
-    )
-    fragments = _fragments(held, True)
-    size = F.sum(F.length("content")).over(W.partitionBy("doc_id", "section"))
-    kept = fragments.withColumn("size", size).where(F.col("item").isNotNull() | (F.col("size") > STUB)).drop("size")
-    dim = dimensions.filing_structure(pages.sparkSession)
-    items = dimensions.with_dimension(kept.where("item IS NOT NULL"), dim, ["filing_type", "part", "item"], "left_semi")
-    parts = dimensions.with_dimension(kept.where("item IS NULL"), dim.select("filing_type", "part").distinct(), ["filing_type", "part"], "left_semi")
-    return items.unionByName(parts)
-
-
-def _plain_lines(content: Column) -> Column:
-    return F.split(content, "\n")
-
-
-def _titled(df: DataFrame, pages: DataFrame) -> DataFrame:
-    """The title of the heading, or that of the dimension where it gives none."""
-    titles = dimensions.item_titles(pages.sparkSession)
-    return dimensions.with_dimension(df, titles, ["filing_type", "code"]).withColumn("item_title", F.coalesce("item_title", "title")).drop("code", "title")
-
-
-def fragments_8k(pages: DataFrame, desired: list[str] | None = None) -> DataFrame:
-    """8-K: items ``n.nn`` whose heading isn't in a table row; the heading is not part of the content.
-
-    Covers and page 1 are skipped, so a filing of one page has no section. ``desired`` keeps some items by code.
-    """
-    rows = pages.where((F.col("filing_type") == "8-K") & F.col("content").isNotNull() & ~is_cover_8k(F.col("content"), F.col("number")))
-    lines = _lines(rows, _plain_lines(F.col("content")))
-    code = F.nullif(F.regexp_extract("line", ITEM_8K_LINE, 1), F.lit(""))
-    head = F.when(~F.col("line").contains("|") & code.isNotNull(), F.struct(item_code_8k(code).alias("code"), F.nullif(_edges(_trim(F.regexp_extract("line", ITEM_8K_LINE, 2))), F.lit("")).alias("title")))
-    return _numbered(lines, head, pages, desired)
+    later = _some(F.col("item_here").isNotNull(), _page().rowsBetween(1, W.unboundedFollowing))
+    return seen.withColumn("gives_way", F.col("part_here").isNotNull() & ~_some(event, earlier) & later).drop("titled", "inline")
 
 
-def fragments_13d(pages: DataFrame, desired: list[str] | None = None) -> DataFrame:
-    """SC 13D (items 1-7) and SC 13G (1-10): everything from the first SIGNATURE line on is cut off.
+def _numbered_heads(lines: DataFrame) -> DataFrame:
+    """Lines with the column head, where the filing is of items alone; table rows are none.
 
     A sub-item ``n(a)`` of the current item is content; of another it opens that item.
     """
-    rows = pages.where(F.col("filing_type").isin("SC 13D", "SC 13G") & F.col("content").isNotNull())
-    lines = _lines(rows, _plain_lines(F.col("content")))
-    stop = F.max(F.col("line").rlike("(?i)^\\s*(?:\\*\\*|__)?\\s*SIGNATURE").cast("int")).over(_doc())
-    lines = lines.withColumn("stop", stop).where("stop = 0").drop("stop")
-    code = F.upper(F.nullif(F.regexp_extract("line", ITEM_LINE, 1), F.lit("")))
-    most = F.when(F.col("filing_type") == "SC 13G", 10).otherwise(7)
-    valid = code.rlike("^([1-9]|10)$") & (F.try_to_number(code, F.lit("99")) <= most) & ~F.col("line").contains("|")
-    title = _edges(_trim(F.regexp_extract("line", ITEM_LINE, 2)))
-    found = lines.withColumn("found", F.when(valid, F.struct(code.alias("code"), F.nullif(title, F.lit("")).alias("title"))))
+    kind, line = F.col("filing_type"), F.col("line")
+    code8, code13 = F.nullif(F.regexp_extract("line", ITEM_8K_LINE, 1), F.lit("")), F.upper(F.nullif(F.regexp_extract("line", ITEM_LINE, 1), F.lit("")))
+    most = F.when(kind == "SC 13G", 10).otherwise(7)
+    valid = code13.rlike("^([1-9]|10)$") & (F.try_to_number(code13, F.lit("99")) <= most)
+    found = (
+        F.when(line.contains("|") | kind.isin(*STANDARD), None)
+        .when((kind == "8-K") & code8.isNotNull(), F.struct(item_code_8k(code8).alias("code"), F.nullif(_edges(_trim(F.regexp_extract("line", ITEM_8K_LINE, 2))), F.lit("")).alias("title")))
+        .when((kind != "8-K") & valid, F.struct(code13.alias("code"), F.nullif(_edges(_trim(F.regexp_extract("line", ITEM_LINE, 2))), F.lit("")).alias("title")))
+    )
     before = F.last("found", ignorenulls=True).over(_doc().rowsBetween(W.unboundedPreceding, -1))["code"]
-    sub = F.col("found.title").rlike("^\\([a-z]\\)")
-    head = F.when(F.col("found").isNotNull() & ~(F.coalesce(sub, F.lit(False)) & F.coalesce(before == F.col("found.code"), F.lit(False))), F.col("found"))
-    return _numbered(found.withColumn("head_", head), F.col("head_"), pages, desired)
+    sub = (kind != "8-K") & F.coalesce(F.col("found.title").rlike("^\\([a-z]\\)") & (before == F.col("found.code")), F.lit(False))
+    return lines.withColumn("found", found).withColumn("numbered", F.when(~sub, F.col("found"))).drop("found")
+
+
+def section_pages(pages: DataFrame, desired: list[str] | None = None) -> DataFrame:
+    """Fragments of sections of all forms: (doc_id, filing_type, section, part, item, item_title, number, content).
 
+    ``pages``: (doc_id, filing_type, number, content); other filing types and null contents give none, extra columns are
+    ignored. ``desired`` keeps some items of 8-K and SC 13D/G by code.
 
-def _numbered(lines: DataFrame, head: Column, pages: DataFrame, desired: list[str] | None) -> DataFrame:
-    events = lines.withColumn("head", head).withColumn("event", F.col("head").isNotNull())
-    carried = events.withColumns({"section": F.sum(F.col("event").cast("int")).over(_doc()), "now": F.last("head", ignorenulls=True).over(_doc())})
+    10-K, 10-Q, 20-F: pages of a table of contents are skipped, the header stays in the content; sections without an item
+    and of up to 80 characters are dropped, and so are those whose part and item the filing type doesn't have.
+    8-K: covers and page 1 are skipped, so a filing of one page has no section; SC 13D (items 1-7) and SC 13G (1-10): all
+    from the first SIGNATURE line on is cut off. In both the heading is not part of the content, and the title is that of
+    the dimension where the heading gives none.
+    """
+    kind, content, number = F.col("filing_type"), F.col("content"), F.col("number")
+    standard = kind.isin(*STANDARD)
+    skipped = F.when(standard, is_toc(content, number)).when(kind == "8-K", is_cover_8k(content, number)).otherwise(False)
+    own = pages.select("doc_id", "filing_type", number.cast("int").alias("number"), "content").where(kind.isin(*FORMS) & content.isNotNull() & ~skipped)
+    lines = own.select("doc_id", "filing_type", "number", F.posexplode(F.when(standard, clean_lines(content)).otherwise(F.split(content, "\n"))).alias("line_no", "line"))
+    signed = kind.isin("SC 13D", "SC 13G") & F.col("line").rlike("(?i)^\\s*(?:\\*\\*|__)?\\s*SIGNATURE")
+    lines = lines.withColumn("ended", _some(signed, _doc())).where(~F.col("ended")).drop("ended")
+    heads = _numbered_heads(_standard_heads(lines))
+    event = F.col("part_here").isNotNull() | F.col("item_here").isNotNull() | F.col("numbered").isNotNull()
+    now = F.struct(F.coalesce("item_here", "numbered").alias("head"), "gives_way")
+    carried = heads.withColumn("event", event).withColumns({
+        "section": F.sum(F.col("event").cast("int")).over(_doc()),
+        "last_part": F.last("part_here", ignorenulls=True).over(_doc()),
+        "now": F.last(F.when(F.col("event"), now), ignorenulls=True).over(_doc()),
+    })
+    code, title = F.col("now.head.code"), F.col("now.head.title")
+    wanted = (F.col("now").isNotNull() & ~F.col("now.gives_way")) & (standard | ~F.col("event"))
     if desired:
-        carried = carried.where(F.col("now.code").isin(*desired))
-    held = carried.select(
-        "doc_id", "filing_type", "number", "line_no", "line", "event", "section", F.lit(None).cast("string").alias("part"),
-        F.concat(F.lit("ITEM "), F.col("now.code")).alias("item"), F.col("now.title").alias("item_title"),
+        wanted = wanted & (standard | code.isin(*desired))
+    item = F.concat(F.lit("ITEM "), code)
+    held = carried.where(wanted).select(
+        "doc_id", "filing_type", "number", "line_no", "line", "section", F.when(standard, F.coalesce(infer_part(kind, item), F.col("last_part"))).alias("part"),
+        item.alias("item"), F.when(standard, clean_title(title)).otherwise(title).alias("item_title"),
     )
-    parts = _fragments(held, False).withColumn("code", F.substring("item", 6, 20))
-    return _titled(parts, pages)
+    fragments = _fragments(held)
+    size = F.sum(F.length("content")).over(W.partitionBy("doc_id", "section"))
+    kept = fragments.withColumn("size", size).where(~standard | F.col("item").isNotNull() | (F.col("size") > STUB)).drop("size")
+    dim = F.broadcast(dimensions.section_titles(pages.sparkSession)).alias("dim")  # a literal of fewer than 200 rows
+    same = (F.col("kept.filing_type") == F.col("dim.filing_type")) & F.col("kept.part").eqNullSafe(F.col("dim.part")) & F.col("kept.item").eqNullSafe(F.col("dim.item"))
+    known = kept.alias("kept").join(dim, same, "left").where(~F.col("kept.filing_type").isin(*STANDARD) | F.col("dim.filing_type").isNotNull())
+    return known.select(*[f"kept.{c}" for c in ("doc_id", "filing_type", "section", "part", "item")], F.coalesce("kept.item_title", "dim.title").alias("item_title"), "kept.number", "kept.content")
 
 
-def section_pages(pages: DataFrame, desired: list[str] | None = None) -> DataFrame:
-    """Fragments of sections of all forms, for ``pages`` of (doc_id, filing_type, number, content).
+def fragments_8k(pages: DataFrame, desired: list[str] | None = None) -> DataFrame:
+    """Those of 8-K filings."""
+    return section_pages(pages.where(F.col("filing_type") == "8-K"), desired)
 
-    Other filing types and null contents give none; extra columns are ignored. ``desired`` applies to 8-K and SC 13D/G.
-    """
-    own = pages.select("doc_id", "filing_type", F.col("number").cast("int").alias("number"), "content")
-    return standard_fragments(own).unionByName(fragments_8k(own, desired)).unionByName(fragments_13d(own, desired))
+
+def fragments_13d(pages: DataFrame, desired: list[str] | None = None) -> DataFrame:
+    """Those of SC 13D and SC 13G filings."""
+    return section_pages(pages.where(F.col("filing_type").isin("SC 13D", "SC 13G")), desired)
 
 
 def sections(fragments: DataFrame) -> DataFrame:
@@ -215,12 +212,17 @@ def section_markdown(fragments: DataFrame, rule: bool = False) -> DataFrame:
     return fragments.groupBy("doc_id", "section").agg(F.array_join(text, "\n\n---\n\n" if rule else "\n\n").alias("markdown"))
 
 
-def get_section(found: DataFrame, item: str, part: str | None = None) -> DataFrame:
-    """The first section of each document with an item, given as ``ITEM 1A`` or ``1A`` in any case; none if there is none."""
-    if not isinstance(item, str):
+def get_section(found: DataFrame, item: str | None = None, part: str | None = None) -> DataFrame:
+    """The first section of each document with an item, given as ``ITEM 1A`` or ``1A`` in any case, with a part, or both.
+
+    None if there is none.
+    """
+    if not isinstance(item, str) and (item is not None or part is None):
         raise ValueError("an item is a text such as 'ITEM 1A'")
-    name = " ".join(item.upper().split())
-    own = found.where(F.col("item") == (name if name.startswith("ITEM ") else f"ITEM {name}"))
+    own = found
+    if item is not None:
+        name = " ".join(item.upper().split())
+        own = own.where(F.col("item") == (name if name.startswith("ITEM ") else f"ITEM {name}"))
     if part is not None:
         own = own.where(F.col("part") == " ".join(part.upper().split()))
     return own.withColumn("r", F.row_number().over(W.partitionBy("doc_id").orderBy("section"))).where("r = 1").drop("r")
@@ -234,18 +236,32 @@ def get_named(found: DataFrame, filing_type: str, name: str) -> DataFrame:
     return get_section(found.where(F.col("filing_type") == filing_type), rows[0]["item"], rows[0]["part"])
 
 
+# Where exhibits begin, and their rows with pipes, with wide blanks, and of HTML; the first form that gives any counts.
+EXHIBITS_LINE = "(?is)^.*?(?m:^\\s*\\(?d\\)?\\s*Exhibits\\b[^\\n]*$)(.*)$"
+EXHIBIT_ROWS = (
+    "(?m)^\\s*\\|?\\s*([0-9]{1,4}(?:\\.[0-9A-Za-z]+)?)\\s*\\|\\s*(.+?)\\s*\\|?\\s*$",
+    "(?m)^\\s*([0-9]{1,4}(?:\\.[0-9A-Za-z]+)?)\\s{2,}(.+?)\\s*$",
+    "(?is)<tr[^>]*>\\s*<t[dh][^>]*>\\s*([^<]+?)\\s*</t[dh]>\\s*<t[dh][^>]*>\\s*([^<]+?)\\s*</t[dh]>\\s*</tr>",
+)
+
+
+def exhibit_rows(text: str) -> list[tuple[str, str]]:
+    """(exhibit_no, description) of one text, as :func:`exhibits`."""
+    m = re.search(EXHIBITS_LINE, text)
+    block = m[1] if m and m[1] else text
+    for pattern in EXHIBIT_ROWS:
+        rows = [(a.strip(), b.strip()) for a, b in re.findall(pattern, block)]
+        if rows := [(a, b) for a, b in rows if a[:1].isdigit() and not b.startswith("---")]:
+            return rows
+    return []
+
+
 def exhibits(fragments: DataFrame) -> DataFrame:
     """(doc_id, section, exhibit_no, description) of 8-K items 9.01: rows with pipes, else with wide blanks, else of HTML."""
     whole = section_markdown_plain(fragments.where((F.col("filing_type") == "8-K") & F.col("item").startswith("ITEM 9.01")))
-    block = F.coalesce(F.nullif(F.regexp_extract("text", "(?is)^.*?(?m:^\\s*\\(?d\\)?\\s*Exhibits\\b[^\\n]*$)(.*)$", 1), F.lit("")), F.col("text"))
-    number = "[0-9]{1,4}(?:\\.[0-9A-Za-z]+)?"
-    tries = [
-        (f"(?m)^\\s*\\|?\\s*({number})\\s*\\|\\s*(.+?)\\s*\\|?\\s*$", False),
-        (f"(?m)^\\s*({number})\\s{{2,}}(.+?)\\s*$", False),
-        ("(?is)<tr[^>]*>\\s*<t[dh][^>]*>\\s*([^<]+?)\\s*</t[dh]>\\s*<t[dh][^>]*>\\s*([^<]+?)\\s*</t[dh]>\\s*</tr>", True),
-    ]
+    block = F.coalesce(F.nullif(F.regexp_extract("text", EXHIBITS_LINE, 1), F.lit("")), F.col("text"))
     found = []
-    for pattern, _ in tries:
+    for pattern in EXHIBIT_ROWS:
         rows = F.arrays_zip(F.regexp_extract_all("block", F.lit(pattern), F.lit(1)).alias("exhibit_no"), F.regexp_extract_all("block", F.lit(pattern), F.lit(2)).alias("description"))
         rows = F.transform(rows, lambda x: F.struct(_trim(x["exhibit_no"]).alias("exhibit_no"), _trim(x["description"]).alias("description")))
         rows = F.filter(rows, lambda x: x["exhibit_no"].rlike("^\\d") & ~x["description"].startswith("---"))

@@ -15,8 +15,8 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def typed_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Each page once, with its filing's type."""
-    pages = read(spark, sf, "doc_pages").select("doc_id", "number", "content", "display_page").distinct()
+    """Each page once, with its filing's type, partitioned by document for the windows that follow."""
+    pages = filings.spread(read(spark, sf, "doc_pages").select("doc_id", "number", "content", "display_page"), "doc_id").distinct()
     return pages.join(read(spark, sf, "filings").select("doc_id", "filing_type").distinct(), "doc_id")
 
 
@@ -216,7 +216,7 @@ def q_chunk_elements(spark, sf):
     """Chunks of whole filings from their elements, with the tags of these."""
     el = _elements(spark, sf, "doc_id", "page", "seq", "id", "content", "kind", "start_offset", "tags")
     made = chunks.chunk(chunks.element_blocks(el, ["doc_id"]), ["doc_id"])
-    cols = chunks.chunk_columns(made, tags=el.select("id", "tags"))
+    cols = chunks.chunk_columns(made, elements=el.select("id", "kind", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "tags"))
     return cols.select("doc_id", "index", "content", "element_ids", "num_tokens", "has_table", F.array_join("tags", ",").alias("tags"))
 
 

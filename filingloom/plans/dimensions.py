@@ -107,10 +107,8 @@ def filing_items(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "filing_type string, code string, enum_name string, part string, item string, title string")
 
 
-def item_titles(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(title_rows(), "filing_type string, code string, title string")
-
-
-def with_dimension(df: DataFrame, dim: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join with one of these dimensions, which are literals of fewer than a hundred rows: so they are broadcast."""
-    return df.join(F.broadcast(dim), keys, how)
+def section_titles(spark: SparkSession) -> DataFrame:
+    """(filing_type, part, item, title): every section a filing type may have, parts without an item among them."""
+    rows = [(t, p, i, None) for t, p, i in structure_rows()] + [(t, p, None, None) for t, parts in STRUCTURE.items() for p in parts]
+    rows += [(t, None, f"ITEM {c}", title) for t, c, title in title_rows()]
+    return spark.createDataFrame(rows, "filing_type string, part string, item string, title string")

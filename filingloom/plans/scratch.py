@@ -1,10 +1,16 @@
-"""Tables written in the shared folder of the cluster, to cut lineage and to read a costly stage more than once."""
+"""Tables written in the shared folder of the cluster, to cut lineage and to read a costly stage more than once.
+
+They stay until the driver ends, or, inside ``with scope():``, until the block does.
+"""
 
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,9 +18,14 @@ _written: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where a session (a test) has none."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where a session in one process (a test) has none.
+
+    A cluster without one is an error: its executors can't read each other's local folders.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="filingloom-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir() or found
@@ -32,9 +43,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear() -> None:
-    """Remove what :func:`materialise` wrote; called when the driver ends, and harmless at any other time."""
-    while _written:
+@contextmanager
+def scope() -> Iterator[None]:
+    """Removes at its end what was written inside; results must have been used or saved by then."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        clear(before)
+
+
+def clear(keep: int = 0) -> None:
+    """Remove what :func:`materialise` wrote, but for the first ``keep`` tables; harmless at any time."""
+    while len(_written) > keep:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

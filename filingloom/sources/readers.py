@@ -5,11 +5,11 @@ from __future__ import annotations
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from filingloom.functions.text import decoded, is_regulator_url, is_url
+from filingloom.functions.text import decoded, is_pdf, is_url
 
 TIMEOUT = 30.0
 
@@ -33,11 +33,16 @@ def assets(spark: SparkSession, path: str) -> DataFrame:
 
 def kind_of(source: Column) -> Column:
     """What a source is: ``url``, ``pdf``, ``html``; null for a null."""
-    from filingloom.functions.text import is_pdf
-
     return F.when(source.isNull(), None).when(is_url(F.trim(source)), "url").when(is_pdf(source), "pdf").otherwise("html")
 
 
+def http_bytes(url: str, agent: str | None = None, timeout: float = 15.0) -> bytes:
+    """The bytes at an address, such as an image's."""
+    request = urllib.request.Request(url, headers={"User-Agent": agent} if agent else {})
+    with urllib.request.urlopen(request, timeout=timeout) as r:
+        return r.read()
+
+
 def http_get(url: str, agent: str | None, timeout: float = TIMEOUT) -> str:
     """The text at an address; the regulator's site wants to know who asks."""
     if "sec.gov" in url.lower() and not agent:
@@ -99,7 +104,7 @@ def fetch(urls: DataFrame, url: str = "url", agent: str | None = None, get: Call
             yield pd.DataFrame(out, columns=["url", "html", "error"])
 
     asked = urls.select(F.col(url).alias("url")).where(is_url(F.col("url"))).distinct()
-    return asked.withColumn("polite", is_regulator_url(F.col("url"))).select("url").mapInPandas(run, "url string, html string, error string")
+    return asked.mapInPandas(run, "url string, html string, error string")
 
 
 def page_json(pages: DataFrame, essentials: bool = False) -> DataFrame:
@@ -125,3 +130,9 @@ def nest(parents: DataFrame, children: DataFrame, on: list[str], name: str, orde
 def write_text(df: DataFrame, column: str, path: str) -> None:
     """A column of texts, a file per partition; texts of several lines stay whole, as JSON strings."""
     df.select(F.to_json(F.struct(column)).alias("value")).write.mode("overwrite").text(path)
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` and what counts its rows, and other given aggregates, while an action runs over it: ``observation.get`` has them after it."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(c.alias(k) for k, c in metrics.items())), seen

@@ -141,11 +141,8 @@ def test_text_columns(spark):
     assert one(spark, " \n%PDF-1.4", text.is_pdf) and not one(spark, "<p>%PDF", text.is_pdf)
     assert [one(spark, x, text.is_numeric) for x in ("(1,234.5)", "$ 5", "12%", "$-5", "a1", "")] == [True, True, True, False, False, False]
     assert one(spark, "| a  b | c |\n| - | - |\n\n| 1 | 2 |", text.minify_table) == "|a b|c|\n|---|---|---|\n|1|2|"
-    assert one(spark, "top: 12.5px", text.top_px) == 12.5 and one(spark, "bottom:100px", text.top_px) == 9900.0 and one(spark, None, text.top_px) is None
     assert one(spark, "a/b.SVG?x=1", text.mime_type) == "image/svg+xml" and one(spark, "a", text.mime_type) == "image/png"
-    assert one(spark, "page-break-before: always", text.breaks_before) and one(spark, "display: none", text.is_hidden)
     assert one(spark, b"ab\xffc", text.decoded, "binary") == "abc"
-    assert one(spark, "**Bold** \ntext", text.is_bold_header) and not one(spark, "**Bold** tail", text.is_bold_header)
     assert one(spark, "5.2", sections.item_code_8k) == "5.02" and one(spark, "9.01a", sections.item_code_8k) == "9.01A"
 
 
@@ -282,7 +279,8 @@ def test_chunk_frames(spark):
     got = chunks.chunk_columns(chunks.chunk(blocks.union(blocks), ["doc_id"]), display=pages).collect()
     assert len(got) == 1 and got[0]["has_table"] and got[0]["has_image"] and got[0]["display_page_map"] == {1: 42} and (got[0]["start_page"], got[0]["end_page"]) == (1, 2)
     el = spark.createDataFrame([("d", 1, 0, "e1", "b", "paragraph", 5, ["t2"]), ("d", 1, 1, "e2", "a", "header", 0, None), ("d", 1, 2, "e3", None, "text", None, ["t1"])], "doc_id string, page int, seq int, id string, content string, kind string, start_offset int, tags array<string>")
-    made = chunks.chunk_columns(chunks.chunk(chunks.element_blocks(el, ["doc_id"]), ["doc_id"]), tags=el).first()
+    known = el.select("id", "kind", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "tags")
+    made = chunks.chunk_columns(chunks.chunk(chunks.element_blocks(el, ["doc_id"]), ["doc_id"]), elements=known).first()
     assert made["content"] == "a\nb" and made["element_ids"] == ["e2", "e1"] and made["tags"] == ["t2"]
     assert chunks.chunk(blocks.limit(0), ["doc_id"]).collect() == []
     assert chunks.with_tag(el, "t1%").count() == 1
@@ -353,7 +351,7 @@ def test_streaming(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.read.parquet("/root/testdata/sf0.001/filings.parquet").write.parquet(source)
     stream = streaming.filings_stream(spark, source, spark.read.parquet(source).schema)
-    q = streaming.write_pages(streaming.stream_pages(streaming.first_deliveries(stream)).drop("segments", "elements"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    q = streaming.write_pages(streaming.stream_pages(streaming.first_deliveries(stream)).drop("elements"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.select("doc_id", "number").distinct().count() > 10
