@@ -108,14 +108,14 @@ def _standard_heads(lines: DataFrame) -> DataFrame:
     an item there gives way to it.
     """
     own = F.col("filing_type").isin(*STANDARD)
-    part = F.when(own, F.nullif(F.regexp_extract("line", PART_LINE, 1), F.lit("")))
-    code, title = F.when(own, F.regexp_extract("line", ITEM_LINE, 1)), _trim(F.regexp_extract("line", ITEM_LINE, 2))
     before = F.concat_ws("\n", F.lag("line", 3).over(_doc()), F.lag("line", 2).over(_doc()), F.lag("line", 1).over(_doc()), F.lit(""))
-    marked = lines.select(
-        "*", F.upper(F.regexp_replace(part, "\\s+", " ")).alias("part_here"),
-        F.when((code != "") & (title != "") & ~title.rlike(ITEM_LIST), F.struct(F.upper(code).alias("code"), title.alias("title"))).alias("titled"),
-        F.substring(before, -30, 30).rlike("(?i)\\bPart\\s+[IVXLC]+").alias("inline"),
-    )
+    read = lines.withColumns({
+        "part_here": F.when(own, F.upper(F.regexp_replace(F.nullif(F.regexp_extract("line", PART_LINE, 1), F.lit("")), "\\s+", " "))),
+        "code": F.when(own, F.upper(F.regexp_extract("line", ITEM_LINE, 1))), "title": F.when(own, _trim(F.regexp_extract("line", ITEM_LINE, 2))),
+        "inline": F.substring(before, -30, 30).rlike("(?i)\\bPart\\s+[IVXLC]+"),
+    })
+    code, title = F.col("code"), F.col("title")
+    marked = read.withColumn("titled", F.when((code != "") & (title != "") & ~title.rlike(ITEM_LIST), F.struct("code", "title"))).drop("code", "title")
     # a reference just after a part's name only matters where no header of the page came before
     earlier = _page().rowsBetween(W.unboundedPreceding, -1)
     started = _some(F.col("part_here").isNotNull() | (F.col("titled").isNotNull() & ~F.col("inline")), earlier)
@@ -130,18 +130,18 @@ def _numbered_heads(lines: DataFrame) -> DataFrame:
 
     A sub-item ``n(a)`` of the current item is content; of another it opens that item.
     """
-    kind, line = F.col("filing_type"), F.col("line")
-    code8, code13 = F.nullif(F.regexp_extract("line", ITEM_8K_LINE, 1), F.lit("")), F.upper(F.nullif(F.regexp_extract("line", ITEM_LINE, 1), F.lit("")))
-    most = F.when(kind == "SC 13G", 10).otherwise(7)
-    valid = code13.rlike("^([1-9]|10)$") & (F.try_to_number(code13, F.lit("99")) <= most)
-    found = (
-        F.when(line.contains("|") | kind.isin(*STANDARD), None)
-        .when((kind == "8-K") & code8.isNotNull(), F.struct(item_code_8k(code8).alias("code"), F.nullif(_edges(_trim(F.regexp_extract("line", ITEM_8K_LINE, 2))), F.lit("")).alias("title")))
-        .when((kind != "8-K") & valid, F.struct(code13.alias("code"), F.nullif(_edges(_trim(F.regexp_extract("line", ITEM_LINE, 2))), F.lit("")).alias("title")))
-    )
+    kind, eight = F.col("filing_type"), F.col("filing_type") == "8-K"
+    own = ~F.col("line").contains("|") & ~kind.isin(*STANDARD)
+    read = lines.withColumns({
+        "code": F.when(own & eight, F.regexp_extract("line", ITEM_8K_LINE, 1)).when(own, F.upper(F.regexp_extract("line", ITEM_LINE, 1))),
+        "rest": F.when(own & eight, F.regexp_extract("line", ITEM_8K_LINE, 2)).when(own, F.regexp_extract("line", ITEM_LINE, 2)),
+    })
+    code, most = F.col("code"), F.when(kind == "SC 13G", 10).otherwise(7)
+    valid = F.when(eight, code != "").otherwise(code.rlike("^([1-9]|10)$") & (F.try_to_number(code, F.lit("99")) <= most))
+    found = F.when(valid, F.struct(F.when(eight, item_code_8k(code)).otherwise(code).alias("code"), F.nullif(_edges(_trim(F.col("rest"))), F.lit("")).alias("title")))
     before = F.last("found", ignorenulls=True).over(_doc().rowsBetween(W.unboundedPreceding, -1))["code"]
-    sub = (kind != "8-K") & F.coalesce(F.col("found.title").rlike("^\\([a-z]\\)") & (before == F.col("found.code")), F.lit(False))
-    return lines.withColumn("found", found).withColumn("numbered", F.when(~sub, F.col("found"))).drop("found")
+    sub = ~eight & F.coalesce(F.col("found.title").rlike("^\\([a-z]\\)") & (before == F.col("found.code")), F.lit(False))
+    return read.withColumn("found", found).withColumn("numbered", F.when(~sub, F.col("found"))).drop("found", "code", "rest")
 
 
 def section_pages(pages: DataFrame, desired: list[str] | None = None) -> DataFrame:
