@@ -1,15 +1,19 @@
 """Problem 1: near-duplicate records with small edits.
 
-The tokens of a record are its distinct runs of three words. Tokens are hashed into groups; a record's group counts are a
+The tokens of a record are its distinct runs of three words. They are hashed into groups; a record's group counts are a
 point, and the sum of the coordinate minima of two points bounds how many tokens the records share. The points are indexed
-in R-trees whose boxes keep coordinate maxima, so one bound rules out whole boxes; pairs that survive are verified on their
-tokens.
-
-One R-tree over all records would compare nearly all its boxes, as group counts of unrelated records are alike. So the top
-of the index is a partitioning by shared tokens: two records of similarity s share some of the rarest (1-s) of their tokens
-(in any fixed order of tokens; here the rare ones first), so records meet only under such a token, each with its own tree.
-Under all of these no link is lost. Records with few common tokens are put under ``KEYS`` of them alone, which loses a pair
-at the very threshold with probability 1.2e-5, and less above it.
+in R-trees, whose boxes keep coordinate maxima, so one bound rules out whole boxes; pairs that survive are verified.
+
+Nothing is lost on the way, whatever the data:
+
+* Tokens are parted by hash into blocks. If all tokens of two records agree to a similarity of s, so do those of one block
+  at least, so a record is a few smaller ones, of a size for which a point of 24 bytes tells much. Records of more than
+  ``LARGE`` tokens have more blocks; those that may be similar to one of them are in both forms.
+* Two such sets that share o tokens share ``MEET`` of their first n - o + MEET, in any fixed order of tokens (here the
+  seldom ones first). So points are sent to the tasks by these tokens, the token is a coordinate of the tree, and a pair
+  is tested where both have the token within the prefix that their two sizes demand.
+
+Counts are kept as bit planes (count at least 1, 2, 3): a minimum is an AND, a maximum an OR, a sum a population count.
 """
 
 from __future__ import annotations
@@ -26,22 +30,20 @@ from filingloom.llm.canonical import consistent
 from filingloom.plans.scratch import materialise
 
 MIN_WORDS, RUN, SIMILARITY = 30, 3, 0.6
-#: Similar records share this many keys at least. Records that need an overlap of o tokens share MEET of their first
-#: n - o + MEET tokens, in any order of tokens.
-MEET = 3
-#: A record of which no more than SHARE of the tokens are common ones needs only the KEYS lowest of them: of similar
-#: records the tokens that aren't common ones agree to 0.41 at least, each of the lowest of both together is in both with
-#: that probability, so fewer than MEET of KEYS are with probability 1.2e-5 at most, at the very threshold.
-KEYS, SHARE = 32, 0.4
+#: Similar sets share this many tokens of their prefixes at least, or all they need to share.
+MEET = 2
+#: Blocks of a record are 4 to the power of its level and one; records of more than LARGE times 4 to that power have more.
+LARGE, LEVELS = 1024, 6
 #: A token is common if it occurs so many times as often as the mean of the cells, and more than MANY times.
 OFTEN, MANY = 32, 64
 #: Cells that the occurrences of all tokens are counted in, and cells of one row of counts.
 CELLS, ROW = 1 << 20, 1 << 14
-#: Groups of a point, the count up to which a group is kept, records of a tree's node, and how often a token occurs above
-#: which its records are spread over tasks.
-GROUPS, TOP, NODE, SPREAD = 64, 3, 16, 4096
-#: Records of more tokens than the first number have points of so many groups, which fold into fewer by addition.
-FINER = ((64, 128), (128, 512), (512, 2048))
+#: Groups of a point, planes of its counts, and children of a node.
+GROUPS, PLANES, NODE = 64, 3, 16
+#: Sets in which a token stands above which they are spread over tasks, and sets that a task indexes at once.
+SPREAD, TASK = 16_384, 400_000
+#: Tokens handled at once, and pairs tested at once.
+SLICE, TESTS = 1 << 21, 1 << 20
 #: Members of groups of exact copies up to which all their pairs are written.
 EXPAND = 64
 
@@ -52,10 +54,28 @@ def words(text: Column) -> Column:
 
 
 def prepared(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(tbl, id, cls, sh) of the rows of (tbl, id, text) with enough words: class of equal words, and distinct tokens."""
-    split = df.where("id IS NOT NULL AND text IS NOT NULL").select("tbl", "id", words(F.col("text")).alias("w")).where(F.size("w") >= max(min_words, RUN))
-    runs = F.transform(F.sequence(F.lit(0), F.size("w") - RUN), lambda i: F.hash("tbl", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    return split.select("tbl", "id", F.xxhash64("tbl", "w").alias("cls"), F.array_distinct(runs).alias("sh"))
+    """(tbl, id, txt, cls, sh) of the rows of (tbl, id, text) with enough words: hashes of the text and of its words, which
+    are its class, and the distinct tokens, in ascending order."""
+    split = df.where("id IS NOT NULL AND text IS NOT NULL").select("tbl", "id", F.xxhash64("tbl", "text").alias("txt"), words(F.col("text")).alias("w")).where(F.size("w") >= max(min_words, RUN))
+    hashed = split.select("tbl", "id", "txt", F.xxhash64("tbl", "w").alias("cls"), F.transform("w", lambda x: F.hash("tbl", x)).alias("h"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, starts = _flat(batch.column("h"))
+            n = np.diff(starts)
+            rec = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+            h = flat.astype(np.uint32).astype(np.uint64)
+            last = len(h) - RUN + 1
+            x = h[:last] * np.uint64(0x9E3779B97F4A7C15) + h[1 : last + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2 : last + 2] * np.uint64(0x165667B19E3779F9) if last > 0 else h[:0]
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            own = rec[:last] == rec[RUN - 1 :] if last > 0 else np.zeros(0, bool)
+            got = np.unique(rec[:last][own] << np.uint64(32) | x[own] >> np.uint64(32)) if last > 0 else h[:0]
+            counts = np.bincount((got >> np.uint64(32)).astype(np.int64), minlength=len(n))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(got.astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("tbl", "id", "txt", "cls")), lists], ["tbl", "id", "txt", "cls", "sh"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in hashed.schema}
+    return hashed.mapInArrow(runs, f"tbl {kinds['tbl']}, id {kinds['id']}, txt long, cls long, sh array<int>")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,21 +85,21 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(sizes)])
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """Another 32-bit hash of a hash, so that cells, groups and order are independent."""
-    x = h.astype(np.uint32)
+def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    """Another 32-bit hash of a hash, so that cells, blocks and groups are independent."""
+    x = h ^ np.uint32(salt)
     x = (x ^ (x >> np.uint32(16))) * np.uint32(0x7FEB352D)
     x = (x ^ (x >> np.uint32(15))) * np.uint32(0x846CA68B)
     return x ^ (x >> np.uint32(16))
 
 
-def token_counts(prep: DataFrame) -> np.ndarray:
-    """How often the tokens of each of ``CELLS`` cells occur in all records, copies too: 8 MB, whatever the data."""
+def token_counts(classes: DataFrame) -> np.ndarray:
+    """How often the tokens of each of ``CELLS`` cells occur in all classes: 8 MB, whatever the data."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            total += np.bincount(_mixed(_flat(batch.column("sh"))[0]) >> np.uint32(32 - 20), minlength=CELLS)
+            total += np.bincount(_flat(batch.column("sh"))[0].view(np.uint32) >> np.uint32(12), minlength=CELLS)
         for at in range(0, CELLS, ROW):
             part = total[at : at + ROW]
             if part.any():
@@ -92,287 +112,286 @@ def token_counts(prep: DataFrame) -> np.ndarray:
             total += np.frombuffer(x, np.uint16 if len(x) == 2 * ROW else np.int64)
         return pa.table({"row": table.column("row").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = prep.select("sh").mapInArrow(count, "row int, counts binary").groupBy("row").applyInArrow(add, "row int, counts binary")
+    rows = classes.select("sh").mapInArrow(count, "row int, counts binary").groupBy("row").applyInArrow(add, "row int, counts binary")
     out = np.zeros(CELLS, np.int64)
     for r in rows.collect():  # CELLS / ROW rows at most
         out[r["row"] * ROW : (r["row"] + 1) * ROW] = np.frombuffer(bytes(r["counts"]), np.int64)
     return out
 
 
-def _packed(flat: np.ndarray, rec: np.ndarray, n: int, groups: int) -> np.ndarray:
-    """Counts of ``n`` records up to ``TOP`` in two bits a group, and the sum of what exceeds it in two bytes."""
-    got = np.bincount(rec * groups + (flat.astype(np.uint32) & np.uint32(groups - 1)), minlength=n * groups).reshape(n, groups)
-    capped = np.minimum(got, TOP).astype(np.uint8).reshape(n, groups // 4, 4)
-    packed = capped[:, :, 0] | capped[:, :, 1] << 2 | capped[:, :, 2] << 4 | capped[:, :, 3] << 6
-    excess = np.minimum(np.maximum(got - TOP, 0).sum(axis=1), 65_535).astype(np.uint16)
-    return np.concatenate([packed, excess.view(np.uint8).reshape(n, 2)], axis=1)
-
-
-def points(flat: np.ndarray, starts: np.ndarray) -> list[bytes]:
-    """The point of each record: packed group counts, of more groups for more tokens.
+def points(group: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit planes (n x PLANES) of the group counts of ``n`` sets, and the sum of what exceeds the planes, 255 for any more.
 
-    The minima of two records sum up to no more than those of their capped counts and the smaller excess.
+    The minima of two sets sum up to no more than those of their planes and the smaller excess.
     """
-    sizes = np.diff(starts)
-    rec = np.repeat(np.arange(len(sizes)), sizes)
-    out: list[bytes] = [b""] * len(sizes)
-    limits = [(-1, GROUPS), *FINER]
-    for k, (above, groups) in enumerate(limits):
-        own = (sizes > above) & (sizes <= limits[k + 1][0] if k + 1 < len(limits) else True)
-        ids = np.flatnonzero(own)
-        place = np.cumsum(own) - 1
-        step = (1 << 20) // groups  # a few MB at a time
-        for a in range(0, len(ids), step):
-            some = ids[a : a + step]
-            mine = own[rec] & (rec >= some[0]) & (rec <= some[-1])
-            for i, row in zip(some, _packed(flat[mine], place[rec[mine]] - a, len(some), groups)):
-                out[i] = row.tobytes()
+    planes, excess = np.empty((n, PLANES), np.uint64), np.empty(n, np.uint8)
+    for a in range(0, n, 8192):
+        b = min(n, a + 8192)
+        lo, hi = np.searchsorted(owner, [a, b])
+        got = np.bincount((owner[lo:hi] - a) * GROUPS + group[lo:hi], minlength=(b - a) * GROUPS).reshape(b - a, GROUPS)
+        for t in range(PLANES):
+            planes[a:b, t] = np.packbits(got > t, axis=1, bitorder="little").view(np.uint64).ravel()
+        excess[a:b] = np.minimum(np.maximum(got - PLANES, 0).sum(axis=1), 255)
+    return planes, excess
+
+
+FIELDS = (("key", np.uint32), ("rec", np.uint64), ("n", np.uint32), ("own", np.uint32), ("pos", np.uint32), ("side", np.uint8), ("excess", np.uint8), *((f"p{t}", np.uint64) for t in range(PLANES)))
+WIDTH = sum(np.dtype(k).itemsize for _, k in FIELDS)
+
+
+def packed(fields: dict[str, np.ndarray]) -> bytes:
+    """Columns as bytes, the first byte of all numbers first, and so on: what is alike stands together, and is compressed."""
+    raw = b"".join(np.ascontiguousarray(fields[f].astype(k).view(np.uint8).reshape(-1, np.dtype(k).itemsize).T).tobytes() for f, k in FIELDS)
+    return pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def unpacked(blob: bytes, n: int) -> dict[str, np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(blob, n * WIDTH), np.uint8)
+    out, at = {}, 0
+    for f, k in FIELDS:
+        size = np.dtype(k).itemsize
+        out[f] = np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(k).ravel()
+        at += n * size
     return out
 
 
-def unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Capped counts and excess of points of one size; an excess at its limit counts as any number."""
-    body, excess = packed[:, :-2], packed[:, -2:].copy().view(np.uint16).ravel().astype(np.int64)
-    counts = np.stack([body & 3, body >> 2 & 3, body >> 4 & 3, body >> 6], axis=2).reshape(len(packed), -1)
-    return counts, np.where(excess == 65_535, 1 << 40, excess)
-
-
-def folded(counts: np.ndarray, excess: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same points with fewer groups."""
-    if counts.shape[1] == groups:
-        return counts, excess
-    total = counts.reshape(len(counts), -1, groups).sum(axis=1, dtype=np.int16)
-    return np.minimum(total, TOP).astype(np.uint8), excess + np.maximum(total - TOP, 0).sum(axis=1, dtype=np.int64)
-
-
-class Points:
-    """The points of many records at each number of groups, as far as the records have them."""
-
-    def __init__(self, packed: list[bytes], sizes: np.ndarray) -> None:
-        length = np.fromiter(map(len, packed), np.int64, len(packed))
-        self.sizes, self.levels = sizes, []
-        for groups in (GROUPS, *(g for _, g in FINER)):
-            place = np.full(len(packed), -1)
-            counts, excess = [], []
-            for own in (GROUPS, *(g for _, g in FINER)):
-                ids = np.flatnonzero(length == own // 4 + 2)
-                if own >= groups and len(ids):
-                    c, e = folded(*unpacked(np.frombuffer(b"".join(packed[i] for i in ids), np.uint8).reshape(len(ids), -1)), groups)
-                    place[ids] = sum(map(len, excess)) + np.arange(len(ids))
-                    counts.append(c)
-                    excess.append(e)
-            if counts:
-                self.levels.append((place, np.concatenate(counts), np.concatenate(excess)))
-
-    def coarse(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        place, counts, excess = self.levels[0]
-        return counts[place[rows]], excess[place[rows]], self.sizes[rows], self.sizes[rows]
-
-    def refined(self, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-        """Which pairs of rows the finer points don't rule out either."""
-        keep = np.ones(len(a), bool)
-        for place, counts, excess in self.levels[1:]:
-            at = np.flatnonzero(keep & (place[a] >= 0) & (place[b] >= 0))
-            for k in range(0, len(at), 16_384):
-                i, j = a[at[k : k + 16_384]], b[at[k : k + 16_384]]
-                x, y = ((counts[place[r]], excess[place[r]], self.sizes[r], self.sizes[r]) for r in (i, j))
-                keep[at[k : k + 16_384]] = CountRTree.may(x, y, similarity)
-        return keep
+def _sets(flat: np.ndarray, starts: np.ndarray, level: int, rank: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The sets of some records at a level: (record, tokens in order, position of each, size) of every token's set, and its number."""
+    n = np.diff(starts)
+    bits = 2 * (level + 1)
+    tok = flat.view(np.uint32)
+    rec = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    block = (_mixed(tok, 0x5BD1E995) >> np.uint32(32 - bits)).astype(np.uint64)
+    cell = (tok >> np.uint32(12)).astype(np.int64)
+    whole = ((rec << np.uint64(bits) | block) << np.uint64(6) | rank[cell].astype(np.uint64)) << np.uint64(32) | tok
+    whole.sort()
+    of = whole >> np.uint64(38)
+    first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(of)))
+    number = np.repeat(np.arange(len(first)), size)
+    return (of >> np.uint64(bits)).astype(np.int64), whole.astype(np.uint32), np.arange(len(of)) - first[number], size[number], number
 
 
-class CountRTree:
-    """R-tree over group counts, packed by tiles: sorted by size, then by the widest coordinate within each slab.
+def levels_of(n: np.ndarray, level: int, similarity: float) -> np.ndarray:
+    """Which records have sets at a level: those of its size, and smaller ones that may be similar to one of them."""
+    low = 0 if level == 0 else LARGE * 4 ** (level - 1)
+    high = LARGE * 4**level if level + 1 < LEVELS else np.inf
+    return (n >= math.floor(similarity * low)) & (n < high)
 
-    Nodes keep the maxima of their points and the range of their sizes. ``pairs`` joins the tree with itself.
-    """
 
-    def __init__(self, counts: np.ndarray, excess: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(sizes)
-        by_size = np.argsort(sizes, kind="stable")
-        slab = max(NODE, NODE * math.ceil(math.sqrt(n / NODE)))
-        widest = int(counts.astype(np.float32).var(axis=0).argmax()) if n else 0
-        parts = [by_size[a : a + slab] for a in range(0, n, slab)]
-        self.order = np.concatenate([p[np.argsort(counts[p, widest], kind="stable")] for p in parts]) if parts else by_size
-        top = (counts[self.order], excess[self.order], sizes[self.order], sizes[self.order])
-        self.levels = [top]
-        while len(top[0]) > NODE:
-            cut = np.arange(0, len(top[0]), NODE)
-            top = (np.maximum.reduceat(top[0], cut), np.maximum.reduceat(top[1], cut), np.minimum.reduceat(top[2], cut), np.maximum.reduceat(top[3], cut))
-            self.levels.append(top)
+def postings(classes: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """(task, n, blob): the sets of each record under the tokens of which two similar ones share some, many in a row.
 
-    @staticmethod
-    def may(a: tuple, b: tuple, similarity: float) -> np.ndarray:
-        """Whether the summed minima of the maxima reach what the smallest records of both need, and the sizes can agree.
-
-        a, b: counts, excess, least and greatest size of points or boxes, row by row.
-        """
-        sized = np.nonzero((a[3] >= similarity * b[2] - 1e-9) & (b[3] >= similarity * a[2] - 1e-9))[0]
-        bound = np.minimum(a[0][sized], b[0][sized]).sum(axis=1, dtype=np.int64) + np.minimum(a[1][sized], b[1][sized])
-        out = np.zeros(len(a[3]), bool)
-        out[sized] = bound >= similarity / (1 + similarity) * (a[2][sized] + b[2][sized]) - 1e-9
-        return out
-
-    def pairs(self, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of all pairs of different records that the bound doesn't rule out."""
-        levels = self.levels
-        a, b = np.triu_indices(len(levels[-1][3]))
-        for level in range(len(levels) - 1, -1, -1):
-            if level == len(levels) - 1:
-                keep = self.may(tuple(x[a] for x in levels[level]), tuple(x[b] for x in levels[level]), similarity)
-                a, b = a[keep], b[keep]
-            if not level:
-                break
-            # the pairs of children, a slice of boxes at a time
-            low, below = levels[level - 1], len(levels[level - 1][3])
-            i, j = np.divmod(np.arange(NODE * NODE), NODE)
-            kept_a, kept_b = [], []
-            for s in range(0, len(a), 256):
-                na, nb = (NODE * a[s : s + 256, None] + i).ravel(), (NODE * b[s : s + 256, None] + j).ravel()
-                ok = np.flatnonzero((na < below) & (nb < below) & (na <= nb))
-                ok = ok[self.may(tuple(x[na[ok]] for x in low), tuple(x[nb[ok]] for x in low), similarity)]
-                kept_a.append(na[ok])
-                kept_b.append(nb[ok])
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (kept_a, kept_b))
-        other = a != b
-        return self.order[a[other]], self.order[b[other]]
-
-
-def postings(prep: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """(key, cls, n, point): each record under the tokens of which two similar ones share some, the rare ones first.
-
-    A token that stands in many records is kept in pieces: the record goes to one row of a square of tiles and its
-    column, so any two of its records meet in one tile, and no task gets them all.
+    A token that stands in very many sets is kept in pieces: a set goes to one row of a square of tiles and its column, so
+    any two of them meet in one tile, and no task gets them all.
     """
     mean = counts.mean()
     rank = np.where(counts > OFTEN * mean + MANY, np.log2(np.maximum(counts, 1)).astype(np.int64), 0).astype(np.uint8)
-    tiles = np.ceil(np.maximum(0, counts - 2 * mean) / SPREAD).clip(1, 1 << 12).astype(np.int16)
-    sent = prep.sparkSession.sparkContext.broadcast((rank, tiles))  # 3 MB, whatever the data
+    tiles = np.ceil(np.maximum(0, counts - 2 * mean) / SPREAD).clip(1, 65_535).astype(np.uint16)
+    tasks = max(1, math.ceil(counts.sum() * (1 - similarity + 0.1) / TASK))
+    sent = classes.sparkSession.sparkContext.broadcast((rank, tiles))  # 3 MB, whatever the data
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(rec: np.ndarray, flat: np.ndarray, starts: np.ndarray, level: int) -> Iterator[pa.RecordBatch]:
         rank, tiles = sent.value
+        n = np.diff(starts)
+        own, tok, pos, size, number = _sets(flat, starts, level, rank)
+        planes, excess = points(_mixed(tok, 0x2545F491) >> np.uint32(26), number, int(number[-1]) + 1 if len(number) else 0)
+        at = np.flatnonzero(pos < size - np.ceil(similarity * size - 1e-9).astype(np.int64) + MEET)
+        key, t = _mixed(tok[at], 0x68E31DA4 + level), tiles[(tok[at] >> np.uint32(12)).astype(np.int64)].astype(np.int64)
+        side = np.full(len(at), 2, np.uint8)
+        if (t > 1).any():
+            mine = (_mixed(rec[own[at]].astype(np.uint32), 0x1B56C4E9) % np.maximum(t, 1).astype(np.uint32)).astype(np.int64)
+            again = np.repeat(np.arange(len(at)), t)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(t) - t, t)
+            at, key, mine, t = at[again], key[again], mine[again], t[again]
+            low, high = np.minimum(mine, other), np.maximum(mine, other)
+            side = np.where(low == high, 2, (mine == high).astype(np.uint8)).astype(np.uint8)
+            key = np.where(t > 1, _mixed(key ^ (low * 65_599 + high).astype(np.uint32), 0x7F4A7C15), key)
+        task = _mixed(key, 0x3C6EF372) % np.uint32(tasks)
+        order = np.argsort(task.astype(np.uint64) << np.uint64(32) | key)
+        ends = np.searchsorted(task[order], np.arange(tasks + 1))
+        fields = {"key": key, "rec": rec[own[at]], "n": n[own[at]], "own": size[at], "pos": pos[at], "side": side, "excess": excess[number[at]], **{f"p{i}": planes[number[at], i] for i in range(PLANES)}}
+        out = [(k, ends[k + 1] - ends[k], packed({f: v[order[ends[k] : ends[k + 1]]] for f, v in fields.items()})) for k in np.flatnonzero(np.diff(ends))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["task", "n", "blob"])
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
             flat, starts = _flat(batch.column("sh"))
-            cls = batch.column("cls").to_numpy()
+            rec = batch.column("rec").to_numpy().astype(np.uint64)
             n = np.diff(starts)
-            rec = np.repeat(np.arange(len(n)), n)
-            mixed = _mixed(flat)
-            cell = mixed >> np.uint32(12)
-            order = np.lexsort((mixed, rank[cell], rec))
-            pos = np.arange(len(order)) - starts[rec]
-            prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + MEET
-            common = np.bincount(rec, weights=rank[cell] > 0, minlength=len(n))
-            prefix = np.where(common <= SHARE * n, np.minimum(prefix, KEYS), prefix)
-            order = order[pos < prefix[rec]]
-            r, key, t = rec[order], flat[order].astype(np.int64), tiles[cell[order]].astype(np.int64)
-            if (t > 1).any():
-                own = (cls[r].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % t
-                times = np.repeat(np.arange(len(r)), t)
-                other = np.arange(len(times)) - np.repeat(np.cumsum(t) - t, t)
-                lo, hi = np.minimum(own[times], other), np.maximum(own[times], other)
-                r, key = r[times], key[times] + (((lo << 12) + hi) << 33)
-            binary = pa.array(points(flat, starts), pa.binary()).take(pa.array(r))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), binary], ["key", "cls", "n", "point"])
-
-    return prep.select("cls", "sh").mapInArrow(spread, "key long, cls long, n int, point binary")
+            for level in range(LEVELS):
+                mine = np.flatnonzero(levels_of(n, level, similarity))
+                part = np.cumsum(n[mine]) // SLICE
+                for k in np.unique(part):
+                    some = mine[part == k]
+                    again = np.concatenate([[0], np.cumsum(n[some])])
+                    where = np.arange(again[-1]) + np.repeat(starts[some] - again[:-1], n[some])
+                    yield from one(rec[some], flat[where], again, level)
 
+    return classes.select("rec", "sh").mapInArrow(post, "task int, n int, blob binary")
 
-def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) classes, a before b, that meet under enough tokens and that the bounds of their R-trees don't rule out.
 
-    Under a token kept in pieces a pair may count more than once, which rules out fewer. A pair that may share fewer than
-    ``MEET`` tokens, being of so few, needs one.
+class CountRTree:
+    """R-tree over points with the coordinates token, size and group counts, packed in the order of the first two.
+
+    Nodes keep the range of tokens and sizes, and the maxima of the counts. ``pairs`` joins the tree with itself.
     """
 
+    def __init__(self, fields: dict[str, np.ndarray]) -> None:
+        order = np.argsort(fields["key"].astype(np.uint64) << np.uint64(32) | fields["own"])
+        key = fields["key"][order]
+        same = key[1:] == key[:-1]
+        met = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(key) else np.zeros(0, bool)
+        order = order[met]  # a token of one set alone leads nowhere
+        self.at = {f: v[order] for f, v in fields.items()}
+        excess = np.where(self.at["excess"] == 255, 1 << 30, self.at["excess"].astype(np.int64))
+        planes = np.stack([self.at[f"p{t}"] for t in range(PLANES)], axis=1)
+        top = (self.at["key"], self.at["key"], self.at["own"].astype(np.int64), self.at["own"].astype(np.int64), planes, excess)
+        self.levels = [top]
+        while len(top[0]) > NODE:
+            cut = np.arange(0, len(top[0]), NODE)
+            last = np.append(cut[1:], len(top[0])) - 1
+            top = (top[0][cut], top[1][last], np.minimum.reduceat(top[2], cut), np.maximum.reduceat(top[3], cut), np.bitwise_or.reduceat(top[4], cut), np.maximum.reduceat(top[5], cut))
+            self.levels.append(top)
+
+    @staticmethod
+    def may(level: tuple, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+        """Of pairs of boxes, a not after b: whether they share a token, their sizes can agree, and the summed minima of the
+        maxima reach what the smallest sets of both need."""
+        first, last, least, most, planes, excess = level
+        at = np.flatnonzero(last[a] >= first[b])
+        i, j = a[at], b[at]
+        fits = (most[i] >= similarity * least[j] - 1e-9) & (most[j] >= similarity * least[i] - 1e-9)
+        at, i, j = at[fits], i[fits], j[fits]
+        bound = np.minimum(excess[i], excess[j])
+        for t in range(PLANES):
+            bound += np.bitwise_count(planes[i, t] & planes[j, t])
+        return at[bound >= similarity / (1 + similarity) * (least[i] + least[j]) - 1e-9]
+
+    def pairs(self, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(record, record, tokens needed) of the pairs of sets, some at a time, that no bound rules out."""
+        top = len(self.levels) - 1
+        a, b = np.triu_indices(len(self.levels[top][0]))
+        keep = self.may(self.levels[top], a, b, similarity)
+        todo = [(top, a[keep], b[keep])]
+        i, j = np.divmod(np.arange(NODE * NODE), NODE)
+        while todo:
+            level, a, b = todo.pop()
+            if level == 0:
+                yield self._tested(a, b, similarity)
+                continue
+            step = TESTS // (NODE * NODE)
+            if len(a) > step:
+                todo += [(level, a[k : k + step], b[k : k + step]) for k in range(0, len(a), step)]
+                continue
+            below = len(self.levels[level - 1][0])
+            low, high = (NODE * a[:, None] + i).ravel(), (NODE * b[:, None] + j).ravel()
+            some = np.flatnonzero((high < below) & (low < high if level == 1 else low <= high))
+            some = some[self.may(self.levels[level - 1], low[some], high[some], similarity)]
+            if len(some):
+                todo.append((level - 1, low[some], high[some]))
+
+    def _tested(self, a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        x = self.at
+        other = a != b  # a tree of one node
+        a, b = a[other], b[other]
+        n, m = x["own"][a].astype(np.int64), x["own"][b].astype(np.int64)
+        need = np.ceil(similarity / (1 + similarity) * (n + m) - 1e-9).astype(np.int64)
+        keep = (x["key"][a] == x["key"][b]) & (x["pos"][a] < n - need + MEET) & (x["pos"][b] < m - need + MEET)
+        keep &= (x["side"][a] == 2) | (x["side"][a] != x["side"][b])
+        large, small = np.maximum(x["n"][a], x["n"][b]), np.minimum(x["n"][a], x["n"][b])
+        keep &= (small >= similarity * large - 1e-9) & (x["rec"][a] != x["rec"][b])
+        return x["rec"][a[keep]].astype(np.int64), x["rec"][b[keep]].astype(np.int64), need[keep]
+
+
+def _candidates(posted: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) records, a before b, that meet under ``MEET`` tokens, or all they need to share, and that no bound rules out."""
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def found(table: pa.Table) -> pa.RecordBatch:
-            key, cls, n = (table.column(c).to_numpy() for c in ("key", "cls", "n"))
-            at = Points(table.column("point").to_pylist(), n.astype(np.int64))
-            first = np.nonzero(np.diff(key, prepend=key[0] - 1))[0]
-            size = np.diff(first, append=len(key))
-            out_a, out_b = [], []
-            small = size <= NODE
-            # trees of one leaf, all at once: each record with the d-th after it
-            last = np.repeat(first + size, size)
-            flat = np.repeat(small, size)
-            for d in range(1, min(NODE, int(size.max()))):
-                i = np.nonzero(flat[:-d] & (np.arange(len(key) - d) + d < last[:-d]))[0]
-                if not len(i):
-                    break
-                i = i[CountRTree.may(at.coarse(i), at.coarse(i + d), similarity)]
-                out_a.append(i)
-                out_b.append(i + d)
-            for f, s in zip(first[~small], size[~small]):
-                a, b = CountRTree(*at.coarse(np.arange(f, f + s))[:3]).pairs(similarity)
-                out_a.append(f + a)
-                out_b.append(f + b)
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-            fine = at.refined(a, b, similarity)
-            a, b = a[fine], b[fine]
-            few = np.flatnonzero(np.ceil(similarity * np.maximum(n[a], n[b]) - 1e-9) < MEET)
-            a, b = (cls[np.concatenate([x, np.repeat(x[few], MEET - 1)])] for x in (a, b))
-            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-            both, times = np.unique(np.stack([a, b]), axis=1, return_counts=True) if len(a) else (np.empty((2, 0), np.int64), np.empty(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64()), pa.array(times, pa.int64())], ["a", "b", "times"])
-
-        rows = 0
+        def found(held: list[dict]) -> Iterator[pa.RecordBatch]:
+            tree = CountRTree({f: np.concatenate([h[f] for h in held]) for f, _ in FIELDS})
+            for a, b, need in tree.pairs(similarity) if len(tree.at["key"]) else ():
+                few = np.flatnonzero(need < MEET)
+                a, b = (np.concatenate([x, np.repeat(x[few], MEET - 1)]) for x in (a, b))
+                if len(a):
+                    order = np.lexsort((np.maximum(a, b), np.minimum(a, b)))
+                    low, high = np.minimum(a, b)[order], np.maximum(a, b)[order]
+                    first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+                    yield pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(np.diff(np.append(first, len(low))))], ["a", "b", "times"])
+
+        held, now = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-            if rows >= 50_000:  # all but the last token, whose rows may go on
-                table = pa.concat_tables(held).combine_chunks()
-                keys = table.column("key").to_numpy()
-                end = int(np.searchsorted(keys, keys[-1]))
-                if end:
-                    yield found(table.slice(0, end))
-                held, rows = [table.slice(end)], table.num_rows - end
-        if rows:
-            yield found(pa.concat_tables(held).combine_chunks())
-
-    shared = posted.repartition("key").sortWithinPartitions("key", "n")
+            for task, n, blob in zip(*(batch.column(c).to_pylist() for c in ("task", "n", "blob"))):
+                if task != now and held:
+                    yield from found(held)
+                    held = []
+                now = task
+                held.append(unpacked(blob, n))
+        if held:
+            yield from found(held)
+
+    shared = posted.repartition("task").sortWithinPartitions("task")
     met = shared.mapInArrow(join, "a long, b long, times long")
     return met.groupBy("a", "b").agg(F.sum("times").alias("times")).where(F.col("times") >= MEET).select("a", "b")
 
 
-def similar_classes(prep: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) of the classes of different words whose tokens' similarity is at least ``similarity``."""
-    classes = prep.groupBy("cls").agg(F.first("sh").alias("sh"))  # copies meet nowhere after this
-    pairs = materialise(_candidates(postings(classes, token_counts(prep), similarity), similarity), "near-pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    sets = materialise(prep.join(named, "cls", "left_semi").groupBy("cls").agg(F.first("sh").alias("sh")), "near-sets")
-    left = pairs.join(sets.select(F.col("cls").alias("a"), F.col("sh").alias("x")), "a")
-    both = left.join(sets.select(F.col("cls").alias("b"), F.col("sh").alias("y")), "b")
+def similar_classes(classes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(a, b) of the classes (rec, cls, sh) of different words whose tokens' similarity is at least ``similarity``.
+
+    Tokens are hashes of 32 bits, so two different ones of a pair of records are taken for one with a probability of their
+    sizes' product in four milliards; that can only matter to a pair at the very threshold.
+    """
+    pairs = materialise(_candidates(postings(classes, token_counts(classes), similarity), similarity), "near-pairs")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("rec")).distinct()
+    sets = materialise(classes.join(named, "rec", "left_semi").select("rec", "cls", "sh"), "near-sets")
+    left = pairs.join(sets.select(F.col("rec").alias("a"), F.col("cls").alias("cls_a"), F.col("sh").alias("x")), "a")
+    both = left.join(sets.select(F.col("rec").alias("b"), F.col("cls").alias("cls_b"), F.col("sh").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"))
 
 
-def near_pairs(df: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def near_pairs(df: DataFrame, similarity: float = SIMILARITY, min_words: int = MIN_WORDS, expand: int = EXPAND) -> DataFrame:
     """(tbl, id_a, id_b) of the pairs of rows of (tbl, id, text) of one tbl that are similar, the smaller id first.
 
-    Rows of too few words and null texts or ids are no cases; repeated rows count once. Members of equal words are one
-    class; all their pairs are written up to ``EXPAND`` members. A larger class is written as links of each member to its
-    smallest, and two similar classes of which one is larger as links of each to the other's smallest: no link is lost,
-    but the pairs of a huge group of copies, which would grow with its square.
+    Rows of too few words and null texts or ids are no cases; repeated rows count once. Texts of equal words are one class,
+    of which the similar ones are found once. Every two different texts that are similar, or of equal words, give a pair.
+    Rows of one and the same text are exact copies: of up to ``expand`` of them all pairs are written, with each other and
+    with the copies of similar texts; larger groups as links of each copy to their smallest, which alone is paired with
+    other texts. So no link is lost, but the pairs of a huge group of copies, which would grow with its square.
     """
-    prep = materialise(prepared(df), "near-records")
-    links = materialise(similar_classes(prep, similarity), "near-links")
-    members = prep.select("tbl", "id", "cls").distinct()
-    sizes = members.groupBy("cls").agg(F.count("*").alias("size"), F.min("id").alias("least"))
-    many = materialise(members.join(sizes.where("size > 1"), "cls"), "near-copies")
-    small = many.where(F.col("size") <= EXPAND)
-    copies = small.join(small.select("cls", F.col("id").alias("other")), "cls").where("id < other").select("tbl", "id", "other")
-    stars = many.where((F.col("size") > EXPAND) & (F.col("id") != F.col("least"))).select("tbl", "id", F.col("least").alias("other"))
-    side = [sizes.select(F.col("cls").alias(c), F.col("size").alias(f"size_{c}"), F.col("least").alias(f"least_{c}")) for c in "ab"]
-    sized = links.join(side[0], "a").join(side[1], "b")
-    whole = (F.col("size_a") <= EXPAND) & (F.col("size_b") <= EXPAND)
-    full = sized.where(whole).select("a", "b").join(members.withColumnRenamed("cls", "a"), "a").join(members.select(F.col("cls").alias("b"), F.col("id").alias("other")), "b")
-    apart = sized.where(~whole)
-    ends = apart.select(F.col("a").alias("cls"), F.col("least_b").alias("other")).unionByName(apart.select(F.col("b").alias("cls"), F.col("least_a").alias("other")))
-    near = full.select("tbl", "id", "other").unionByName(ends.join(members, "cls").select("tbl", "id", "other"))
-    out = copies.unionByName(stars).unionByName(near)
-    return out.select("tbl", F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+    prep = materialise(prepared(df, min_words), "near-records")
+    once = prep.groupBy("cls").agg(F.first("sh").alias("sh")).withColumn("rec", F.monotonically_increasing_id())
+    classes = materialise(once, "near-classes")  # written, as a number must not change if an executor is lost
+    links = similar_classes(classes, similarity)
+    members = prep.select("tbl", "id", "txt", "cls").distinct()
+    # the copies of a text are counted where they are before they meet, so a text of a third of all rows does no harm
+    texts = materialise(members.groupBy("txt", "cls", "tbl").agg(F.count("*").alias("size"), F.min("id").alias("least")), "near-texts")
+    side = {c: texts.select(*[F.col(x).alias(f"{x}_{c}") for x in ("cls", "txt", "size", "least")]) for c in "ab"}
+    near = links.join(side["a"], F.col("a") == F.col("cls_a")).join(side["b"], F.col("b") == F.col("cls_b")).drop("a", "b")
+    several = texts.groupBy("cls").agg(F.count("*").alias("texts")).where("texts > 1").select("cls")
+    varied = texts.join(several, "cls", "left_semi")
+    alike = varied.select(*[F.col(x).alias(f"{x}_a") for x in ("cls", "txt", "size", "least")]).join(varied.select(*[F.col(x).alias(f"{x}_b") for x in ("cls", "txt", "size", "least")]), F.col("cls_a") == F.col("cls_b")).where("txt_a < txt_b")
+    tbl = texts.select(F.col("txt").alias("txt_a"), "tbl")
+    apart = materialise(near.unionByName(alike).join(tbl, "txt_a"), "near-links")
+    firsts = apart.select("tbl", F.col("least_a").alias("x"), F.col("least_b").alias("y"))
+    # the copies of texts that have few
+    few = materialise(members.join(texts.where((F.col("size") > 1) & (F.col("size") <= expand)).select("txt"), "txt", "left_semi").select("txt", "id"), "near-copies")
+    both = apart.where(F.col("size_a").between(2, expand) | F.col("size_b").between(2, expand)).select("tbl", "txt_a", "txt_b", "least_a", "least_b")
+    a = both.join(few.select(F.col("txt").alias("txt_a"), F.col("id").alias("id_a")), "txt_a", "left")
+    b = a.join(few.select(F.col("txt").alias("txt_b"), F.col("id").alias("id_b")), "txt_b", "left")
+    others = b.select("tbl", F.coalesce("id_a", "least_a").alias("x"), F.coalesce("id_b", "least_b").alias("y"))
+    kinds = texts.where((F.col("size") > 1) & (F.col("size") <= expand)).select("txt", "tbl")
+    copies = few.join(kinds, "txt").select("tbl", "txt", F.col("id").alias("x")).join(few.select("txt", F.col("id").alias("y")), "txt").where("x < y").select("tbl", "x", "y")
+    # of larger groups there are fewer than rows / expand; their rows are not shuffled by the text, which may be a hot key
+    many = texts.where(F.col("size") > expand).select("txt", "least")
+    stars = _to_least(members, many)
+    out = firsts.unionByName(others).unionByName(copies).unionByName(stars)
+    return out.select("tbl", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+
+
+def _to_least(members: DataFrame, many: DataFrame, salts: int = 64) -> DataFrame:
+    """(tbl, x, y): each copy of a large group with the smallest one; the groups' rows are spread over salts."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+    wide = many.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(wide, ["txt", "salt"]).where(F.col("id") != F.col("least")).select("tbl", F.col("id").alias("x"), F.col("least").alias("y"))

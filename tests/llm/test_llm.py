@@ -69,10 +69,28 @@ def test_near_pairs_of_nothing(spark):
 
 def test_large_groups_of_copies_lose_no_link(spark):
     text = " ".join(f"t{i}" for i in range(60))
-    rows = [("a", f"{i:03}", text) for i in range(100)] + [("a", "zz", text + " more")]
-    got = {(r["id_a"], r["id_b"]) for r in nearcopies.near_pairs(spark.createDataFrame(rows, "tbl string, id string, text string")).collect()}
-    assert {("000", f"{i:03}") for i in range(1, 100)} <= got
-    assert {(f"{i:03}", "zz") for i in range(100)} <= got and len(got) == 199
+    rows = [("a", f"{i:03}", text) for i in range(100)] + [("a", "zz", text + " more"), ("a", "zzz", text + " more"), ("a", "yy", text.upper() + "."), ("b", "000", text)]
+    got = {(r["tbl"], r["id_a"], r["id_b"]) for r in nearcopies.near_pairs(spark.createDataFrame(rows, "tbl string, id string, text string")).collect()}
+    # each of the hundred copies is linked to the smallest, and different texts to each other
+    assert got == {("a", "000", f"{i:03}") for i in range(1, 100)} | {("a", "000", x) for x in ("yy", "zz", "zzz")} | {("a", "yy", "zz"), ("a", "yy", "zzz"), ("a", "zz", "zzz")}
+    few = [r for r in rows if r[1] < "030" or r[1] > "yy" or r[0] == "b"]
+    assert {tuple(r) for r in nearcopies.near_pairs(spark.createDataFrame(few, "tbl string, id string, text string")).collect()} == _brute_pairs(few)
+
+
+def test_near_pairs_of_all_sizes(spark, monkeypatch):
+    """Records on both sides of the sizes at which they get more blocks, and tokens that stand in many sets, in tiles."""
+    rng = random.Random(8)
+    rows = []
+    for g, n in enumerate((90, 600, 640, 1000, 1050, 1500, 2600, 4200)):
+        base = [f"v{g}x{i}" for i in range(n)]
+        rows += [("a", f"{g}-{k}", _edited(rng, base[: int(n * (1 - 0.12 * k))], n // 100)) for k in range(4)]
+    shared = [f"s{i}" for i in range(60)]
+    rows += [("a", f"h{k}", _edited(rng, shared + [f"h{k}y{i}" for i in range(rng.choice([4, 30, 90]))], 1)) for k in range(40)]
+    want = _brute_pairs(rows)
+    df = spark.createDataFrame(rows, "tbl string, id string, text string")
+    assert {tuple(r) for r in nearcopies.near_pairs(df).collect()} == want
+    monkeypatch.setattr(nearcopies, "SPREAD", 1)
+    assert {tuple(r) for r in nearcopies.near_pairs(df).collect()} == want and len(want) > 100
 
 
 def test_near_pairs_of_few_tokens(spark):
@@ -83,21 +101,31 @@ def test_near_pairs_of_few_tokens(spark):
     assert got == _brute_pairs(rows) and ("a", "one30", "one40") in got and ("a", "two15", "two31") in got and ("a", "most", "two15") in got
 
 
-def test_tree_keeps_every_similar_pair():
-    rng = np.random.default_rng(5)
+@settings(max_examples=30, deadline=None)
+@given(st.integers(0, 10**6), st.sampled_from([0.5, 0.6, 0.8]), st.integers(0, 2))
+def test_tree_keeps_every_similar_pair(seed, similarity, level):
+    """Sets of a level's blocks, met under their prefixes in the tree, give every similar pair ``MEET`` times or as often as it can."""
+    rng = np.random.default_rng(seed)
     sets = []
-    for _ in range(60):
-        n = int(rng.choice([40, 70, 300, 900]))
-        base = rng.choice(10**6, n, replace=False)
-        sets += [np.unique(np.where(rng.random(n) < 0.1, rng.integers(0, 10**6, n), base)) for _ in range(4)]
+    for _ in range(12):
+        n = int(rng.choice([3, 40, 70, 300]))
+        base = rng.choice(2**31, n, replace=False)
+        sets += [np.unique(np.where(rng.random(n) < rng.choice([0, 0.1, 0.2]), rng.integers(0, 2**31, n), base)) for _ in range(4)]
     flat, starts = np.concatenate(sets).astype(np.int32), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    at = nearcopies.Points(nearcopies.points(flat, starts), np.diff(starts))
-    a, b = nearcopies.CountRTree(*at.coarse(np.arange(len(sets)))[:3]).pairs(0.6)
-    keep = at.refined(a, b, 0.6)
-    a, b = a[keep], b[keep]
-    got = {(min(x, y), max(x, y)) for x, y in zip(a, b)}
-    want = {(j, i) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.6 * len(np.union1d(sets[i], sets[j]))}
-    assert want <= got and len(got) < 2 * len(want) + 200
+    own, tok, pos, size, number = nearcopies._sets(flat, starts, level, np.zeros(nearcopies.CELLS, np.uint8))
+    planes, excess = nearcopies.points(tok >> np.uint32(26), number, int(number[-1]) + 1)
+    at = np.flatnonzero(pos < size - np.ceil(similarity * size - 1e-9).astype(np.int64) + nearcopies.MEET)
+    n = np.diff(starts)
+    fields = {"key": tok[at], "rec": own[at].astype(np.uint64), "n": n[own[at]].astype(np.uint32), "own": size[at].astype(np.uint32), "pos": pos[at].astype(np.uint32), "side": np.full(len(at), 2, np.uint8), "excess": excess[number[at]], **{f"p{t}": planes[number[at], t] for t in range(nearcopies.PLANES)}}
+    back = nearcopies.unpacked(nearcopies.packed(fields), len(at))
+    assert all((back[f] == fields[f]).all() for f in fields)
+    times: dict = {}
+    for a, b, need in nearcopies.CountRTree(back).pairs(similarity):
+        for x, y, k in zip(a, b, need):
+            pair = (min(x, y), max(x, y))
+            times[pair] = times.get(pair, 0) + (nearcopies.MEET if k < nearcopies.MEET else 1)
+    want = {(j, i) for i in range(len(sets)) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= similarity * len(np.union1d(sets[i], sets[j])) - 1e-9}
+    assert want <= {p for p, k in times.items() if k >= nearcopies.MEET}
 
 
 # 2
