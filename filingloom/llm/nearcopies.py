@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ CELLS, ROW = 1 << 20, 1 << 14
 #: Groups of a point, planes of its counts, and children of a node.
 GROUPS, PLANES, NODE = 64, 3, 16
 #: Sets in which a token stands above which they are spread over tasks, and sets that a task indexes at once.
-SPREAD, TASK = 16_384, 400_000
+SPREAD, TASK = 16_384, 200_000
 #: Tokens handled at once, and pairs tested at once.
 SLICE, TESTS = 1 << 21, 1 << 20
 #: Members of groups of exact copies up to which all their pairs are written.
@@ -56,20 +57,26 @@ def words(text: Column) -> Column:
 def prepared(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(tbl, id, txt, cls, sh) of the rows of (tbl, id, text) with enough words: hashes of the text and of its words, which
     are its class, and the distinct tokens, in ascending order."""
-    split = df.where("id IS NOT NULL AND text IS NOT NULL").select("tbl", "id", F.xxhash64("tbl", "text").alias("txt"), words(F.col("text")).alias("w")).where(F.size("w") >= max(min_words, RUN))
-    hashed = split.select("tbl", "id", "txt", F.xxhash64("tbl", "w").alias("cls"), F.transform("w", lambda x: F.hash("tbl", x)).alias("h"))
+    some = df.where(F.col("id").isNotNull() & (F.length("text") >= 2 * max(min_words, RUN) - 1))  # no fewer can be so many words
+    split = some.select("tbl", "id", F.xxhash64("tbl", "text").alias("txt"), words(F.col("text")).alias("w"))
+    hashed = split.select("tbl", "id", "txt", F.xxhash64("tbl", "w").alias("cls"), F.hash("tbl").alias("salt"), F.transform("w", lambda x: F.hash(x)).alias("h"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pc.greater_equal(pc.list_value_length(batch.column("h")), max(min_words, RUN)))
+            if not batch.num_rows:
+                continue
             flat, starts = _flat(batch.column("h"))
             n = np.diff(starts)
             rec = np.repeat(np.arange(len(n), dtype=np.uint64), n)
-            h = flat.astype(np.uint32).astype(np.uint64)
+            h = flat.view(np.uint32).astype(np.uint64)
             last = len(h) - RUN + 1
-            x = h[:last] * np.uint64(0x9E3779B97F4A7C15) + h[1 : last + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2 : last + 2] * np.uint64(0x165667B19E3779F9) if last > 0 else h[:0]
+            x = h[:last] * np.uint64(0x9E3779B97F4A7C15) + h[1 : last + 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:] * np.uint64(0x165667B19E3779F9)
+            x += batch.column("salt").to_numpy().astype(np.uint32).astype(np.uint64)[rec[:last].astype(np.int64)]  # runs of different tables differ
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            own = rec[:last] == rec[RUN - 1 :] if last > 0 else np.zeros(0, bool)
-            got = np.unique(rec[:last][own] << np.uint64(32) | x[own] >> np.uint64(32)) if last > 0 else h[:0]
+            got = (rec[:last] << np.uint64(32) | x >> np.uint64(32))[rec[:last] == rec[RUN - 1 :]]
+            got.sort()
+            got = got[np.concatenate([[True], got[1:] != got[:-1]])]
             counts = np.bincount((got >> np.uint64(32)).astype(np.int64), minlength=len(n))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(got.astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("tbl", "id", "txt", "cls")), lists], ["tbl", "id", "txt", "cls", "sh"])
