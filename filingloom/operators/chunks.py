@@ -337,9 +337,9 @@ def block_span(contents: Column, whole: Column) -> Column:
         return F.concat(F.lit("(?U)"), F.regexp_replace(F.regexp_replace(t, "[^\\p{L}\\p{N}\\s]", r"\\$0"), "(?U)\\s+", r"\\s+"))
 
     def step(acc: Column, t: Column) -> Column:
-        after, first, loose = F.locate(t, whole, acc["at"] + 1), F.locate(t, whole), F.regexp_instr(whole, quoted(t))
+        after, first, loose = F.position(t, whole, acc["at"] + 1), F.position(t, whole), F.regexp_instr(whole, quoted(t))
         start = F.when(after > 0, after).when(loose > 0, loose).when(first > 0, first)
-        long = F.when((after > 0) | (loose <= 0), F.length(t)).otherwise(F.length(F.regexp_extract(whole, quoted(t), F.lit(0))))
+        long = F.when((after > 0) | (loose <= 0), F.length(t)).otherwise(F.length(F.call_function("regexp_extract", whole, quoted(t), F.lit(0))))
         end = start - 1 + long
         return F.when(start.isNull(), acc).otherwise(
             F.struct(F.least(acc["start"], start - 1).alias("start"), F.greatest(acc["end"], end).alias("end"), end.alias("at"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filingloom.functions import text as X
 from filingloom.operators import annotate, chunks, filings, sections
-from filingloom.plans import dimensions
+from filingloom.plans import dimensions, shapes
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -281,4 +281,4 @@ def q_corpus_report(spark, sf):
     return rows.rollup("filing_type", "site").agg(F.count("*").alias("docs"), F.countDistinct("cik").alias("filers"), F.grouping_id().cast("long").alias("level"))
 
 
-QUERIES = {k: f for k, f in globals().items() if k.startswith("q_")}
+QUERIES = {**{k: f for k, f in globals().items() if k.startswith("q_")}, **shapes.QUERIES}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from filingloom.plans import dimensions
+from filingloom.plans import dimensions, shapes
 
 WS = "[\\t\\n\\x0b\\x0c\\r\\x{85}\\p{Z}]"
 PAGES = "(SELECT DISTINCT doc_id, number, content FROM doc_pages)"
@@ -177,3 +177,4 @@ ORACLE = {
     "q_element_offsets": f"SELECT id, substr(p.content, start_offset + 1, end_offset - start_offset) = e.content AS matches FROM (SELECT DISTINCT id, doc_id, page, content, start_offset, end_offset FROM elements WHERE start_offset IS NOT NULL AND end_offset IS NOT NULL AND content IS NOT NULL) e JOIN {PAGES} p ON p.doc_id = e.doc_id AND p.number = e.page",
     "q_corpus_report": "SELECT filing_type, site, count(*) AS docs, count(DISTINCT cik) AS filers, grouping_id(filing_type, site)::BIGINT AS level FROM (SELECT doc_id, r.filing_type AS filing_type, r.site AS site, r.cik AS cik FROM (SELECT doc_id, arg_max({'filing_type': filing_type, 'site': site, 'cik': cik}, loaded_at) AS r FROM filings WHERE doc_id IS NOT NULL GROUP BY doc_id)) GROUP BY ROLLUP (filing_type, site)",
 }
+ORACLE |= shapes.ORACLE | {"q_streamed_pages": f"SELECT doc_id, 1 AS number, content FROM {_PARSED}"}

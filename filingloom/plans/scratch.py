@@ -32,14 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet and read it back: later plans start from files that every executor can read."""
-    spark = df.sparkSession
+def folder_for(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, removed like the tables."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(clear)
     _written.append((spark, path))
+    return path
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet and read it back: later plans start from files that every executor can read."""
+    spark = df.sparkSession
+    path = folder_for(spark, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

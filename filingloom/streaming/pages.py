@@ -10,8 +10,8 @@ from pyspark.sql.types import StructType
 from filingloom.operators.filings import parse_pages
 
 
-def filings_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
+def filings_stream(spark: SparkSession, path: str, schema: StructType | str, fmt: str = "parquet", files_per_trigger: int = 100, pattern: str = "*") -> DataFrame:
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern).load(path)
 
 
 def first_deliveries(stream: DataFrame, key: str = "doc_id", time: str = "loaded_at", late: str = "7 days") -> DataFrame:
