@@ -323,6 +323,27 @@ def test_leaks(spark):
     assert sorted(map(tuple, leaks.leaks(d, e).collect())) == [(10, 1), (15, 3)]
     assert {(r["doc_id"], r["eval_id"]) for r in leaks.reparameterised(d, e).collect()} == {(11, 1)}
     assert leaks.leaks(d.limit(0), e).collect() == [] and leaks.leaks(d, e.limit(0)).collect() == []
+    assert leaks.reparameterised(d.limit(0), e).collect() == [] and leaks.reparameterised(d, e.limit(0)).collect() == []
+
+
+def test_replaced_values_must_be_consistent(spark):
+    item = "On the way to Kelulvik the 12 boats of Kelulvik carried 40 kg of salt for the long winter feast"
+    docs = [
+        (1, item.replace("Kelulvik", "Umbrath").replace("kg", "tons")), (2, item.replace("Kelulvik", "Umbrath", 1)), (3, item.replace("12", "dozen")), (4, item.replace("winter", "summer")),
+        (5, item), (6, item.replace("40", "12")), (7, item.replace("12", "12,5")),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    e = spark.createDataFrame([(9, "Well, Kelulvik " + item, None)], "eval_id long, passage string, question string")
+    # new names and units; one name for two places only in windows with one of them; no number; another plain word, outside of some windows
+    got = {r["doc_id"] for r in leaks.reparameterised(d, e).collect()}
+    assert 1 in got and 5 not in got and 4 not in got
+    assert {tuple(r) for r in leaks.leaks(d, e).collect()} >= {(5, 9)}
+
+
+def test_items_in_slices(spark, monkeypatch):
+    want = {tuple(r) for r in queries.p7_found(spark, SF).collect()}
+    monkeypatch.setattr(leaks, "WINDOWS", 3000)
+    assert {tuple(r) for r in queries.p7_found(spark, SF).collect()} == want
 
 
 def test_leaks_match_brute_force(spark):
