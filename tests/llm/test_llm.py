@@ -367,7 +367,7 @@ def test_leaks_match_brute_force(spark):
 
 @pytest.fixture(scope="module")
 def model(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").select("text", F.lower(F.substring("lang", 1, 2))).collect()
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text IS NOT NULL").select("text", F.lower(F.substring("lang", 1, 2))).collect()
     return sentences.fit([tuple(r) for r in rows])
 
 
@@ -387,6 +387,9 @@ def model(spark):
         ("สีสวยกว่าในรูป ส่งเร็วและห่อดีมาก", ["สีสวยกว่าในรูป", "ส่งเร็วและห่อดีมาก"]),
         ("Quiet motor. 👍 It arrived late!!!", ["Quiet motor. 👍", "It arrived late!!!"]),
         ("one line\r\n\n  another line  ", ["one line", "another line"]),
+        ("سألني د. Miinby عن السعر؟", None), ("डॉ. Relmar ने भी यही थैला खरीदा।", None),
+        ("It does not fit. The lid leaks.", ["It does not fit.", "The lid leaks."]), ("it does not fit. the lid leaks.", ["it does not fit.", "the lid leaks."]),
+        ("OllinのVer.11.1と比べました。サイズは9.1cmです。", ["OllinのVer.11.1と比べました。", "サイズは9.1cmです。"]),
         ("no mark at all", None), ("", []), ("  \n ", []), (None, []),
     ],
 )
@@ -394,6 +397,13 @@ def test_sentences(model, text, want):
     assert [text[a:b] for a, b in sentences.sentences(text, model)] == ([text] if want is None else want)
 
 
+def test_point_classes():
+    """A word whose points never end a line is an abbreviation, one whose points do isn't, and too few tell nothing."""
+    lines = ["Ask Dr. Bo now.", "See Dr. Mi. She is in.", "We met Dr. Al. He left."] * 10 + ["It is in. Go on.", "Some x."]
+    found = sentences.point_classes([(sentences.tokens_of(x), False) for x in lines])
+    assert found["dr", "."] == "A" and found["left", "."] == "F" and found["now", "."] == "F" and ("x", ".") not in found
+
+
 def test_sentences_lose_nothing(model, spark):
     for (text,) in spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").select("text").collect():
         spans = sentences.sentences(text, model)
