@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from filingloom.plans.scratch import materialise
 
 DIM, K = 64, 5
-#: Projected dimensions of a tree, vectors in a leaf, and vectors that the upper levels are fitted on.
+#: Projected dimensions of a tree, vectors in a leaf, and vectors that the upper levels are fitted on at least.
 DIRECTIONS, LEAF, SAMPLE = 8, 2048, 32_768
+#: Upper levels at most, which are broadcast and fitted on ``PER_CELL`` vectors for each cell; what is below is cut in its task,
+#: by exact medians. With 16,384 cells a task gets 61,000 of a milliard vectors, and the cuts of a tree are 64 KB.
+UPPER = 14
 #: Probability with which a close enough vector has a projected distance inside the tested one.
 CONFIDENCE = 0.995
 #: Share of close pairs that no tree brings together, from which the number of trees follows.
@@ -284,14 +287,16 @@ def _met_in_cells(classes: DataFrame, total: int, k: int, dim: int, cell: int, v
     return placed.groupBy("cell").applyInArrow(search, "cls long, other long, cos float")
 
 
-def _met_in_trees(classes: DataFrame, total: int, k: int, min_cos: float, dim: int, leaf: int) -> DataFrame:
+def _met_in_trees(classes: DataFrame, total: int, k: int, min_cos: float, dim: int, leaf: int, upper: int) -> DataFrame:
     """(cls, other, cos): the k best of each class in its leaf of each tree, with at least ``min_cos``."""
     depth = max(0, math.ceil(math.log2(max(1, total) / leaf)))
     trees = trees_needed(depth, math.sqrt(2 - 2 * min_cos) * 0.75)
-    sample = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, SAMPLE / max(1, total)))).select("u").limit(2 * SAMPLE).toArrow()
+    upper = min(depth, upper)
+    wanted = max(SAMPLE, PER_CELL << upper)
+    sample = classes.where(F.pmod(F.xxhash64("cls"), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, wanted / max(1, total)))).select("u").limit(2 * wanted).toArrow()
     fitted = np.frombuffer(b"".join(sample.column("u").to_pylist()), np.float32).reshape(-1, dim)
-    shape = [(directions(t, dim, DIRECTIONS), fit_cuts(fitted @ directions(t, dim, DIRECTIONS), depth)) for t in range(trees)]
-    index = classes.sparkSession.sparkContext.broadcast(shape)  # DIRECTIONS * dim and fewer than SAMPLE numbers for each tree
+    shape = [(directions(t, dim, DIRECTIONS), fit_cuts(fitted @ directions(t, dim, DIRECTIONS), upper)) for t in range(trees)]
+    index = classes.sparkSession.sparkContext.broadcast(shape)  # DIRECTIONS * dim and fewer than 2 ** UPPER numbers for each tree
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +327,7 @@ def _met_in_trees(classes: DataFrame, total: int, k: int, min_cos: float, dim: i
     return placed.groupBy("cell").applyInArrow(search, "cls long, other long, cos float")
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = K, min_cos: float | None = 0.9, dim: int = DIM, leaf: int = LEAF, cell: int = CELL, visits: int = VISITS) -> DataFrame:
+def nearest(df: DataFrame, key: str, vector: str, k: int = K, min_cos: float | None = 0.9, dim: int = DIM, leaf: int = LEAF, cell: int = CELL, visits: int = VISITS, upper: int = UPPER) -> DataFrame:
     """(id, neighbour, cos): for every usable vector its ``k`` most similar with at least ``min_cos`` (ties: the smaller id).
 
     Without ``min_cos`` the k most similar, however far. Trees find those of a bound of ``CLOSE`` or more, cells all others.
@@ -351,7 +356,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = K, min_cos: float | N
 
     total = few.where("rank = 1").count()
     if min_cos is not None and min_cos >= CLOSE:
-        met = _met_in_trees(classes, total, k, min_cos, dim, leaf)
+        met = _met_in_trees(classes, total, k, min_cos, dim, leaf, upper)
     else:
         met = _met_in_cells(classes, total, k, dim, cell, visits).where(F.col("cos") >= (-2.0 if min_cos is None else min_cos))
     met = met.groupBy("cls", "other").agg(F.max("cos").alias("cos"))
