@@ -1,8 +1,10 @@
 """Problem 3: visually identical text with different characters.
 
-``consistent_form`` compiles its mapping of single characters once (by rule, from the Unicode tables that Python ships);
-format characters are stripped before, letters and their marks are composed by NFC around it, and letters borrowed from
-another script are settled when their word ends. This replaces a transducer that reads clusters at their longest match.
+A transducer, compiled once by rule from the Unicode tables that Python ships, reads a text cluster by cluster in one pass:
+a character is folded (width, blank, ligature; what is invisible vanishes), its marks are put in their order, and the letter
+and its marks go through the transitions of composition as far as they lead, which is the longest match; what takes no
+further transition stays. Letters borrowed from another script are replaced by a mapping, compiled too, when their word
+ends, and then take the marks that follow them. No key has two results and no result is mapped again: that is checked.
 Texts that hold no character the mapping could change never leave the JVM.
 """
 
@@ -49,81 +51,129 @@ def _single(ch: str) -> str:
     return unicodedata.normalize("NFC", ch)
 
 
-@lru_cache(1)
-def compiled() -> tuple[dict[str, str], dict[tuple[str, str], str]]:
-    """The one-character mapping and the look-alikes by (target script, letter).
+class Transducer:
+    """``single``: what a character is folded to; ``parts``: the letter and marks that a composed letter stands for;
+    ``steps``: the letter that a letter and a mark (or a letter) become; ``order``: the order of a mark among marks;
+    ``alike``: the letter of a script that a borrowed one looks like, by (script, letter), with its marks."""
+
+    def __init__(self) -> None:
+        self.single, self.parts, self.steps, self.order = {}, {}, {}, {}
+        for code in (*range(0x80, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE1000)):  # the planes with letters, and tags
+            ch = chr(code)
+            if (to := _single(ch)) != ch:
+                self.single[ch] = to
+            if rank := unicodedata.combining(ch):
+                self.order[ch] = rank
+            pair = unicodedata.decomposition(ch)
+            if pair and not pair.startswith("<"):
+                self.parts[ch] = unicodedata.normalize("NFD", ch)
+                letters = [chr(int(x, 16)) for x in pair.split()]
+                if len(letters) == 2 and unicodedata.normalize("NFC", "".join(letters)) == ch:
+                    self._add(self.steps, tuple(letters), ch)
+        for code in range(11_172):  # syllables of Hangul, by their rule
+            lead, vowel, tail = code // 588, code % 588 // 28, code % 28
+            ch = chr(0xAC00 + code)
+            self._add(self.steps, (chr(0x1100 + lead), chr(0x1161 + vowel)) if not tail else (chr(0xAC00 + code - tail), chr(0x11A7 + tail)), ch)
+        for ch, to in self.single.items():
+            if any(x in self.single for x in to):
+                raise ValueError(f"{ch!r} becomes {to!r}, which is mapped again")
+        self.alike: dict[tuple[str, str], str] = {}
+        for row in LOOK_ALIKES.replace("\n", "|").split("|"):
+            letters = row.split()
+            for i, a in enumerate(letters):
+                for j, b in enumerate(letters):
+                    if i != j and "-" not in (a, b) and b not in RARE:
+                        self.alike.setdefault((SCRIPTS[j], a), b)
+        for (script, a), b in self.alike.items():
+            if _script(b) != script or _script(a) == script:
+                raise ValueError(f"{a!r} to {b!r} doesn't lead to {script}")
+        for ch, parts in self.parts.items():  # the same with marks, where the other script has that letter
+            for script in SCRIPTS:
+                if (to := self.alike.get((script, parts[0]))) is not None and _script(ch) != script:
+                    whole, left = self.composed(to, list(parts[1:]))
+                    if not left:
+                        self._add(self.alike, (script, ch), whole)
+
+    @staticmethod
+    def _add(table: dict, key: tuple, value: str) -> None:
+        if table.setdefault(key, value) != value:
+            raise ValueError(f"{key!r} has two results, {table[key]!r} and {value!r}")
+
+    def composed(self, letter: str, marks: list[str]) -> tuple[str, list[str]]:
+        """The letter with the marks that it takes, and those that it doesn't, in their order."""
+        left: list[str] = []
+        for m in marks:
+            if (not left or self.order.get(left[-1], 0) < self.order.get(m, 0)) and (to := self.steps.get((letter, m))) is not None:
+                letter = to
+            else:
+                left.append(m)
+        return letter, left
+
+    def cluster(self, letter: str, marks: list[str]) -> tuple[str, list[str]]:
+        if not marks:
+            return letter, marks
+        whole = self.parts.get(letter, letter)
+        return self.composed(whole[0], sorted([*whole[1:], *marks], key=lambda m: self.order.get(m, 0)))
+
+    def run(self, text: str) -> str:
+        out: list[str] = []
+        word: list[tuple[str, list[str]]] = []
+        letter, marks = "", []
+
+        def end() -> None:
+            """The cluster is over: a letter joins its word, anything else ends it."""
+            nonlocal letter, marks
+            if letter or marks:
+                whole = self.cluster(letter, marks) if letter else ("", sorted(marks, key=self.order.__getitem__))
+                if letter.isalpha() or word and unicodedata.category(letter or marks[0])[0] == "M":
+                    word.append(whole)
+                else:
+                    settle()
+                    out.append(whole[0] + "".join(whole[1]))
+            letter, marks = "", []
+
+        def settle() -> None:
+            """Give the letters of the word the script that most of them have."""
+            if word:
+                seen = [_script(c) if c.isalpha() else "" for c, _ in word]
+                counts = Counter(s for s in seen if s)
+                script, most = counts.most_common(1)[0] if counts else ("", 0)
+                mixed = len(counts) > 1 and 2 * most > sum(counts.values()) and script in SCRIPTS
+                for (c, left), s in zip(word, seen):
+                    if mixed and s and s != script and (to := self.alike.get((script, c))) is not None:
+                        c, left = self.cluster(to, left)
+                    out.append(c + "".join(left))
+                word.clear()
+
+        for ch in text:
+            for c in self.single.get(ch, ch):
+                if c in self.order:
+                    marks.append(c)
+                    continue
+                if letter:
+                    whole, left = self.cluster(letter, marks)
+                    if not left and (to := self.steps.get((whole, c))) is not None:
+                        letter, marks = to, []
+                        continue
+                end()
+                letter = c
+        end()
+        settle()
+        return "".join(out)
 
-    Raises if a key has two results or if a result would be mapped again: then the outcome would depend on the order.
-    """
-    single = {}
-    for code in (*range(0x80, 0xD800), *range(0xE000, 0x30000), *range(0xE0000, 0xE1000)):  # the planes with letters, and tags
-        ch = chr(code)
-        if (to := _single(ch)) != ch:
-            single[ch] = to
-    for ch, to in single.items():
-        if any(x in single for x in to):
-            raise ValueError(f"{ch!r} becomes {to!r}, which is mapped again")
-    alike: dict[tuple[str, str], str] = {}
-    for row in LOOK_ALIKES.replace("\n", "|").split("|"):
-        if not (letters := row.split()):
-            continue
-        for i, a in enumerate(letters):
-            for j, b in enumerate(letters):
-                if i != j and "-" not in (a, b) and b not in RARE:
-                    alike.setdefault((SCRIPTS[j], a), b)
-    for (script, a), b in alike.items():
-        if _script(b) != script or _script(a) == script:
-            raise ValueError(f"{a!r} to {b!r} doesn't lead to {script}")
-    return single, alike
+
+@lru_cache(1)
+def compiled() -> Transducer:
+    return Transducer()
 
 
 #: A run of letters with their marks and what is invisible among them, or any other character outside ASCII.
 SPANS = regex.compile(r"[\p{L}\p{M}\p{Cf}]*[^\x00-\x7F][\p{L}\p{M}\p{Cf}]*")
 
 
-def _borrowed(ch: str, script: str, alike: dict) -> str:
-    if (to := alike.get((script, ch))) is not None:
-        return to
-    parts = unicodedata.normalize("NFD", ch)
-    if len(parts) > 1 and (to := alike.get((script, parts[0]))) is not None:
-        whole = unicodedata.normalize("NFC", to + parts[1:])
-        return whole if len(whole) == 1 else ch
-    return ch
-
-
-def _settle(word: list[str], alike: dict) -> None:
-    """Give the letters of one word the script that most of them have."""
-    seen = [_script(c) if c.isalpha() else "" for c in word]
-    counts = Counter(s for s in seen if s)
-    if len(counts) < 2:
-        return
-    script, most = counts.most_common(1)[0]
-    if 2 * most <= sum(counts.values()) or script not in SCRIPTS:
-        return
-    for i, s in enumerate(seen):
-        if s and s != script:
-            word[i] = _borrowed(word[i], script, alike)
-
-
 @lru_cache(200_000)
 def _span(text: str) -> str:
-    single, alike = compiled()
-    mapped = unicodedata.normalize("NFC", "".join([single.get(c, c) for c in text]))
-    out: list[str] = []
-    word: list[str] = []
-    for c in mapped:
-        if c.isalpha() or word and unicodedata.category(c)[0] == "M":
-            word.append(c)
-            continue
-        if word:
-            _settle(word, alike)
-            out += word
-            word = []
-        out.append(c)
-    if word:
-        _settle(word, alike)
-        out += word
-    return unicodedata.normalize("NFC", "".join(out))  # a letter that was put in may take the marks after it
+    return compiled().run(text)
 
 
 def consistent_form(text: str | None) -> str | None:
@@ -134,16 +184,13 @@ def consistent_form(text: str | None) -> str | None:
     """
     if text is None or text.isascii():
         return text
-    if regex.search(r"\p{Cf}", text):  # what is invisible may stand between a letter and its marks, or inside a word
-        single = compiled()[0]
-        text = regex.sub(r"\p{Cf}", lambda m: single.get(m[0], m[0]), text)
     return SPANS.sub(lambda m: _span(m[0]), text)
 
 
 @lru_cache(1)
 def _ranges() -> str:
     """The characters that never stay as they are, as a class of Java's patterns."""
-    codes, out = sorted(ord(c) for c in compiled()[0]), []
+    codes, out = sorted(ord(c) for c in compiled().single), []
     for c in codes:
         if out and out[-1][1] == c - 1:
             out[-1][1] = c
