@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 from itertools import groupby
 from statistics import median as _median
 
@@ -50,28 +51,38 @@ def split_groups(boxes: list[Box]) -> list[list[Box]]:
         return [boxes] if boxes else []
     gaps = [d for a, b in zip(placed, placed[1:]) if 5 < (d := b.top - a.top) < 100]
     limit = min(1.2 * median(gaps), 30.0) if gaps else 30.0
-    groups = [[placed[0]]]
-    for a, b in zip(placed, placed[1:]):
-        groups.append([b]) if b.top - a.top > limit else groups[-1].append(b)
+    groups = _runs(placed, lambda _, last, b: b.top - last.top > limit)
     return [part for g in groups for part in _split_columns(g)]
 
 
+#: Widths of rows, one letter each: a row of several columns after which at least two of three are of one column.
+RUNNING_TEXT = re.compile("w(?=n(?:n.|.n))")
+
+
+def _runs(boxes: list[Box], ends) -> list[list[Box]]:
+    """Boxes in order, cut where ``ends`` says of a run's first and last box and the next that the run is over."""
+
+    def step(runs: list[list[Box]], b: Box) -> list[list[Box]]:
+        if runs and not ends(runs[-1][0], runs[-1][-1], b):
+            runs[-1].append(b)
+        else:
+            runs.append([b])
+        return runs
+
+    return reduce(step, boxes, [])
+
+
 def _split_columns(group: list[Box]) -> list[list[Box]]:
+    """A group whose columns end in running text, as columns and text; any other whole."""
     placed = sorted((b for b in group if b.x is not None and b.top is not None), key=lambda b: b.top)
-    if len(group) < 6 or not placed:
+    if len(group) < 6:
         return [group]
-    rows: list[list[Box]] = []
-    for b in placed:
-        if rows and abs(b.top - rows[-1][0].top) <= 15:
-            rows[-1].append(b)
-        else:
-            rows.append([b])
-    wide = [len({b.x for b in r}) for r in rows]
-    for i in range(len(rows) - 3):
-        if wide[i] >= 2 and wide[i + 1] == 1 and wide[i + 1 : i + 4].count(1) >= 2:
-            cut = rows[i + 1][0].top
-            return [part for part in ([b for b in placed if b.top < cut], [b for b in placed if b.top >= cut]) if part]
-    return [group]
+    rows = _runs(placed, lambda first, _, b: b.top - first.top > 15)
+    widths = "".join("w" if len({b.x for b in r}) > 1 else "n" for r in rows)
+    if (m := RUNNING_TEXT.search(widths)) is None:
+        return [group]
+    cut = rows[m.end()][0].top
+    return [part for _, g in groupby(placed, key=lambda b: b.top >= cut) if (part := list(g))]
 
 
 class Layout:
@@ -148,34 +159,32 @@ class Layout:
     def text(self) -> str:
         """Lines from top to bottom; words cut by a hyphen and lines that go on are joined, bold lines stand apart."""
         boxes = sorted(self.boxes, key=lambda b: (b.y, b.x))
-        if not boxes:
-            return ""
-        usual = median([b.y - a.y for a, b in zip(boxes, boxes[1:]) if b.y - a.y > 1]) if len(boxes) > 1 else 15.0
-        number, ids = 0, []
-        for i, b in enumerate(boxes):
-            number += i > 0 and abs(b.y - boxes[i - 1].y) > 5
-            ids.append(number)
-        rows = [[b for _, b in g] for _, g in groupby(zip(ids, boxes), key=lambda x: x[0])]
-        out: list[str] = []
-        for i, row in enumerate(rows):
-            line = self._line(row)
-            if not line:
-                continue
-            if not i or not out:
-                out.append(line)
-                continue
-            before = out[-1]
-            words = [b for b in row if not b.spacer and b.text]
-            left, above = min(row, key=lambda b: b.x), min(rows[i - 1], key=lambda b: b.x)
-            if words and all(b.bold for b in words) and len(line) < 80 and not before.endswith("-"):
-                out += ["", line]
-            elif before.endswith("-"):
-                out[-1] = before[:-1] + line if line[0].islower() else f"{before} {line}"
-            elif not before.rstrip().endswith((".", "!", "?", ":", ";", ")", "]")) and abs(left.y - above.y) < 1.4 * usual:
-                out[-1] = f"{before} {line}"
-            else:
-                out.append(line)
-        return "\n".join(out)
+        rows = _runs(boxes, lambda _, last, b: abs(b.y - last.y) > 5)
+        usual = median([d for a, b in zip(boxes, boxes[1:]) if (d := b.y - a.y) > 1]) if len(boxes) > 1 else 15.0
+        tops = [min(r, key=lambda b: b.x).y for r in rows]
+        near = [False, *(abs(b - a) < 1.4 * usual for a, b in zip(tops, tops[1:]))]
+        heads = [all(b.bold for b in words) if (words := [b for b in r if not b.spacer and b.text]) else False for r in rows]
+        lines = [(line, head, close) for r, head, close in zip(rows, heads, near) if (line := self._line(r))]
+        return "".join(reduce(_glued, lines, []))
+
+
+# Fixed value: what ends a line that doesn't go on.
+STOPS = (".", "!", "?", ":", ";", ")", "]")
+
+
+def _glued(done: list[str], line: tuple[str, bool, bool]) -> list[str]:
+    """Texts and what stands between them, with one more line: (text, wholly bold, close to the row above)."""
+    text, head, close = line
+    if not done:
+        return [text]
+    before = done[-1]
+    if before.endswith("-"):
+        return [*done[:-1], before[:-1] + text if text[0].islower() else f"{before} {text}"]
+    if head and len(text) < 80:
+        return [*done, "\n\n", text]
+    if close and not before.rstrip().endswith(STOPS):
+        return [*done[:-1], f"{before} {text}"]
+    return [*done, "\n", text]
 
 
 def _junk(row: list[str]) -> bool:

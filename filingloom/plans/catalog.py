@@ -173,10 +173,6 @@ def q_section_stats(spark, sf):
     return _sections(spark, sf).groupBy("filing_type", "part", "item").agg(F.count("*").alias("sections"), F.sum("tokens").cast("long").alias("tokens"))
 
 
-def q_exhibits(spark, sf):
-    return sections.exhibits(sections.section_pages(typed_pages(spark, sf)))
-
-
 def q_item_dimension(spark, sf):
     return dimensions.filing_items(spark)
 

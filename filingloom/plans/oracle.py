@@ -24,7 +24,11 @@ TOC = f"""(number <= 5 AND ({_count("content", "(?im)^\\s*ITEM\\s+\\d{1,2}[A-Z]?
 
 _LEAD = "(?:\\*\\*|__)?\\s*(?:</?[^>]+>\\s*)*"
 _EDGE = "'^\\s*(?:\\*\\*|__)\\s*|\\s*(?:\\*\\*|__)\\s*$', '', 'g'"
-_STRUCTURE = ", ".join(f"('{t}', '{p}', '{i}')" for t, p, i in dimensions.structure_rows())
+# The items of each part, stated here once more so that the check doesn't rest on the operator's own.
+_PARTS = """('10-K', 'PART I', '1,1A,1B,1C,2,3,4'), ('10-K', 'PART II', '5,6,7,7A,8,9,9A,9B,9C'), ('10-K', 'PART III', '10,11,12,13,14'), ('10-K', 'PART IV', '15,16'),
+  ('10-Q', 'PART I', '1,2,3,4'), ('10-Q', 'PART II', '1,1A,2,3,4,5,6'), ('20-F', 'PART I', '1,2,3,4,4A,5,6,7,8,9,10,11,12,12D'),
+  ('20-F', 'PART II', '13,14,15,16,16A,16B,16C,16D,16E,16F,16G,16H,16I'), ('20-F', 'PART III', '17,18,19')"""
+_STRUCTURE = f"(SELECT t, p, 'ITEM ' || unnest(string_split(l, ',')) AS i FROM (VALUES {_PARTS}) v(t, p, l))"
 _TITLES = ", ".join("('{}', '{}', '{}')".format(t, c, n.replace("'", "''")) for t, c, n in dimensions.title_rows())
 _INLINE = "regexp_matches(right(concat_ws(chr(10), lag(line, 3) OVER w, lag(line, 2) OVER w, lag(line, 1) OVER w, ''), 30), '(?i)\\bPart\\s+[IVXLC]+')"
 
@@ -70,7 +74,7 @@ sect AS (
     CASE WHEN p.item IS NOT NULL THEN nullif({_strip("regexp_replace(regexp_replace(any_value(p.ttl), '^\\s*[:.\\-–—]\\s*', ''), '" + WS + "+', ' ', 'g')")}, '') END AS item_title,
     min(p.number)::BIGINT AS start_page, max(p.number)::BIGINT AS end_page, sum(greatest(1, length(p.content) // 4))::BIGINT AS tokens
   FROM parted p
-  WHERE (p.item IS NOT NULL OR p.size > 80) AND EXISTS (SELECT 1 FROM (VALUES {_STRUCTURE}) s(t, p, i) WHERE s.t = p.filing_type AND s.p = p.part AND (p.item IS NULL OR s.i = p.item))
+  WHERE (p.item IS NOT NULL OR p.size > 80) AND EXISTS (SELECT 1 FROM {_STRUCTURE} s WHERE s.t = p.filing_type AND s.p = p.part AND (p.item IS NULL OR s.i = p.item))
   GROUP BY p.doc_id, p.filing_type, p.section, p.part, p.item)"""
 
 _BODY = f"unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM {TYPED}"
@@ -160,11 +164,14 @@ ORACLE = {
       v AS (SELECT doc_id, count(candidate) >= 5 AND sum(CASE WHEN step = 1 THEN 2 WHEN step > 1 THEN 1 ELSE 0 END) >= 0.8 * count(step) AS ok, list(candidate ORDER BY number) AS l FROM s GROUP BY doc_id)
       SELECT c.doc_id, c.number, CASE WHEN v.ok THEN v.l[c.number] END AS display_page FROM c JOIN v USING (doc_id)""",
     "q_sections": f"{ALL} SELECT doc_id, filing_type, part, item, item_title, section, start_page, end_page, tokens FROM allsect",
+    "q_section_pages": f"""{ALL}, kept AS (SELECT doc_id, section::BIGINT AS section FROM allsect)
+      SELECT doc_id, section, number, content FROM (SELECT doc_id, section::BIGINT AS section, number, content FROM parted UNION ALL SELECT doc_id, section::BIGINT, number, content FROM k8_frag WHERE content <> ''
+        UNION ALL SELECT doc_id, section::BIGINT, number, content FROM d13_frag WHERE content <> '') SEMI JOIN kept USING (doc_id, section)""",
     "q_section_8k": f"WITH {EIGHT} SELECT doc_id, item, item_title, start_page FROM k8_sect",
     "q_section_13d": f"WITH {THIRTEEN} SELECT doc_id, item, item_title, start_page FROM d13_sect",
     "q_get_section": f"{ALL} SELECT doc_id, item, arg_min(item_title, section) AS item_title FROM allsect WHERE item = 'ITEM 2' GROUP BY doc_id, item",
     "q_section_stats": f"{ALL} SELECT filing_type, part, item, count(*) AS sections, sum(tokens)::BIGINT AS tokens FROM allsect GROUP BY filing_type, part, item",
-    "q_structure_dimension": f"SELECT * FROM (VALUES {_STRUCTURE}) v(filing_type, part, item)",
+    "q_structure_dimension": f"SELECT t AS filing_type, p AS part, i AS item FROM {_STRUCTURE}",
     "q_xbrl_tags": "SELECT DISTINCT id, unnest(tags) AS tag FROM elements",
     "q_tag_filter": "SELECT DISTINCT id FROM (SELECT id, tags, unnest(tags) AS t FROM (SELECT DISTINCT id, tags FROM elements)) WHERE t LIKE 'inv:%Text%'",
     "q_merge_notes": "SELECT doc_id, tags[1] AS name, min(page)::BIGINT AS start_page, max(page)::BIGINT AS end_page, count(DISTINCT page) AS pages, count(*) AS elements FROM (SELECT DISTINCT doc_id, page, seq, id, tags FROM elements WHERE page IS NOT NULL) WHERE tags[1] IS NOT NULL GROUP BY doc_id, tags[1]",

@@ -286,6 +286,94 @@ def test_chunk_frames(spark):
     assert chunks.with_tag(el, "t1%").count() == 1
 
 
+def test_many_elements_of_one_key(spark):
+    n = 30_000
+    el = spark.range(n).select(F.lit("d").alias("doc_id"), F.lit(1).alias("page"), F.col("id").cast("int").alias("seq"), F.col("id").cast("string").alias("id"), F.lit("x").alias("content"), F.lit("text").alias("kind"), F.col("id").cast("int").alias("start_offset"))
+    assert chunks.element_blocks(el, ["doc_id"]).agg(F.count("*"), F.max("seq")).first()[:] == (n, n)
+
+
+def test_pages_without_elements(spark):
+    el = spark.createDataFrame([("d", 1, 0, "e1", "a", "text", 0)], "doc_id string, page int, seq int, id string, content string, kind string, start_offset int")
+    pages = spark.createDataFrame([("d", 1, "own text"), ("d", 2, "# H\nx\n|a|"), ("d", 3, "|b|"), ("e", 1, "only text")], "doc_id string, number int, content string")
+    got = [(r["doc_id"], r["seq"], r["block_type"], r["page"], r["content"], list(r["element_ids"])) for r in chunks.element_blocks(el, ["doc_id"], pages=pages).orderBy("doc_id", "seq").collect()]
+    assert got == [("d", 1, "Text", 1, "a", ["e1"]), ("d", 2, "Header", 2, "# H", []), ("d", 3, "Text", 2, "x", []), ("d", 4, "Table", 2, "|a|", []), ("d", 5, "Table", 3, "|b|", []), ("e", 1, "Text", 1, "only text", [])]
+
+
+def test_properties_of_chunks(spark):
+    blocks = "array<struct<block_type:string,page:int,content:string>>"
+    rows = spark.createDataFrame([("d", 0, None, [("Text", 3, "c"), ("Text", 1, "a"), ("Text", 1, " "), ("Text", 2, " ")], ["e1", "t:part-1", "none"]), ("e", 0, "H", [("Text", 1, "x")], [])], f"doc_id string, index int, header string, blocks {blocks}, element_ids array<string>")
+    shown = spark.createDataFrame([("d", 1, 41), ("d", 2, 42), ("d", 4, 44), ("e", 9, 9)], "doc_id string, number int, display_page int")
+    known = spark.createDataFrame([("e1", "image", 1, 2, ["x"]), ("t", "table", 3, 5, ["y"])], "id string, kind string, page_start int, page_end int, tags array<string>")
+    got = {r["doc_id"]: r for r in chunks.chunk_columns(rows, display=shown, elements=known).collect()}
+    d, e = got["d"], got["e"]
+    assert d["display_page_map"] == {1: 41, 2: 42} and d["display_page_range"] is None and e["display_page_map"] is None
+    assert (d["start_page"], d["end_page"], d["images"], d["has_image"], d["tags"]) == (1, 5, ["e1"], True, ["x"])
+    assert (e["start_page"], e["end_page"], e["images"], e["has_image"], e["tags"]) == (1, 1, [], False, [])
+    assert [tuple(x) for x in d["page_contents"]] == [(1, "a\n "), (3, "c")] and e["embedding_text"] == "H\n\n...\n\nx"
+    assert chunks.chunk_json(rows).where(F.col("json").startswith('{"doc_id":')).count() == 2
+
+
+def test_spans_and_located_elements(spark):
+    rows = [(["ab", "cd"], "x ab y cd z", (2, 9)), (["cd", "ab"], "ab cd ab", (3, 8)), (["a  b(c)"], "zz a b(c) y", (3, 9)), (["no"], "text", None), ([" "], "text", None), (["cd", "ab"], "ab cd", (0, 5)), (None, "x", None), (["a"], None, None)]
+    df = spark.createDataFrame([(i, c, t) for i, (c, t, _) in enumerate(rows)], "i int, c array<string>, t string")
+    got = {r["i"]: tuple(r["s"]) if r["s"] else None for r in df.select("i", chunks.block_span(F.col("c"), F.col("t")).alias("s")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(rows)}
+
+
+def test_notes_in_chunks(spark):
+    notes = spark.createDataFrame([("d", "N", ["b", "a", "none"]), ("d", "M", []), ("d", "O", None)], "doc_id string, name string, element_ids array<string>")
+    el = spark.createDataFrame([("d", "a", 2, "second", "text", 0), ("d", "b", 1, "first", "text", 9), ("d", "b", 1, "first", "text", 9)], "doc_id string, id string, page_start int, content string, kind string, start_offset int")
+    got = chunks.chunk_columns(chunks.chunk_notes(notes, el)).collect()
+    assert [(r["name"], r["content"], r["start_page"], r["end_page"]) for r in got] == [("N", "first\nsecond", 1, 2)]
+
+
+def test_blocks_of_one_text_are_those_of_a_page(spark):
+    text = "# H\na\n| x |  y |\n|---|---|\n| 1 | 2 |\n\nb | c\n#d"
+    pages = spark.createDataFrame([("d", 0, text)], "doc_id string, number int, content string")
+    want = [(r["block_type"], r["content"]) for r in chunks.text_blocks(pages, ["doc_id"]).orderBy("seq").collect()]
+    assert [(b.kind, b.content) for b in chunks.blocks_of(text)] == want
+
+
+def test_guards(spark, monkeypatch):
+    with pytest.raises(ValueError):
+        render.table_markdown("<div>x</div>")
+    assert render.table_markdown("<table><tr><td>a</td></tr></table>") == "a"
+    from filingloom.plans import scratch
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+            master = "spark://h:7077"
+
+    with pytest.raises(ValueError):
+        scratch.shared_dir(Session)
+    with scratch.scope():
+        kept = scratch.materialise(spark.range(3), "scoped")
+        path = kept.inputFiles()[0]
+        assert kept.count() == 3
+    import os
+
+    assert not os.path.exists(path.replace("file://", ""))
+
+
+def test_highlighted_documents_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("a", "<body>x</body>"), ("b", "<p>y\nz</p>"), ("c", None)], "doc_id string, html string")
+    ids = spark.createDataFrame([("a", "e1"), ("a", "e2")], "doc_id string, element_id string")
+    annotate.write_highlighted(df, ids, str(tmp_path / "out"))
+    got = {r["doc_id"]: r["value"] for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()}
+    assert set(got) == {"a", "b"} and "e2" in got["a"] and got["b"].strip() == "<p>y\nz</p>"
+
+
+def test_section_by_part(spark):
+    found = sections.sections(sections.section_pages(frame(spark, "10-K", ["PART I\nITEM 1. Business\nx\nITEM 1A. Risk Factors\ny"])))
+    assert sections.get_section(found, part="part i").first()["item"] == "ITEM 1" and sections.get_section(found, part="PART II").count() == 0
+    with pytest.raises(ValueError):
+        sections.get_section(found)
+
+
 # annotation, sources, SQL, streaming
 
 
