@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_TOKENS, OVERLAP_TOKENS = 512, 64
-#: Positions indexed at once, so that the memory for a text of any length is bounded.
+#: Positions indexed at once, so that the table of a text of any length is small; its strengths take a byte a character.
 BLOCK = 1 << 18
 #: Strength of a cut right after each of these, the strongest first.
 BOUNDARIES = [
@@ -32,7 +32,7 @@ def strengths(text: str) -> np.ndarray:
     """Strength of a cut before each position of ``text``; 0 inside a word."""
     out = np.zeros(len(text) + 1, np.int8)
     for value, pattern in reversed(BOUNDARIES):
-        ends = [m.end() for m in pattern.finditer(text)]
+        ends = np.fromiter((m.end() for m in pattern.finditer(text)), np.int64)
         out[ends] = np.maximum(out[ends], value)
     return out
 
