@@ -1,9 +1,8 @@
 """Problem 6: encoding of the whole corpus with a public byte-level BPE vocabulary.
 
 The texts are cut into words by the tokenizer's own pattern; a word is encoded by folding ranked merges over its array of
-bytes (each in hexadecimal) with higher-order functions. A text stays in its row: a word that is one piece is looked up in
-the ranks, a distinct word that is frequent is folded once and looked up in a literal of the frequent words, any other is
-folded where it stands. So nothing is shuffled but the counts of words and each text once.
+bytes (each in hexadecimal) with higher-order functions. A text stays in its row: a word that is one piece, and a distinct
+word that is frequent and folded once, are looked up in one literal, any other word is folded where it stands. So nothing is shuffled but the counts of words and each text once.
 Literals are arrays of small maps, because a lookup in a map takes time in proportion to its size. A fold takes time in
 proportion to the square of a word's length; words above ``LONG`` bytes are merged with a heap, in Python.
 """
@@ -132,16 +131,27 @@ def merged_long(word: bytes, known: dict[bytes, int]) -> list[int]:
     return [known[word[i : ends[i]]] for i in start if ends[i]]
 
 
-def frequent(words: DataFrame, table: Column, hot: int = HOT) -> Column:
-    """A literal, as of the ranks: the ids of each word, not one piece itself, that is more than one in ``hot`` of all."""
+def frequent(words: DataFrame, path: str, hot: int = HOT) -> Column:
+    """A literal, as of the ranks, by word: the ids of each word that is one piece, and of each that is more than one in ``hot``
+    of all others."""
+    table = rank_table(path)
     rows = words.select(F.explode("words").alias("word")).where(F.octet_length("word").between(2, LONG))
     counts = rows.where(_rank(table, F.hex(F.encode("word", "UTF-8"))) == NONE).groupBy("word").agg(F.count("*").alias("times"))
     counts = materialise(counts, "word-counts")
     total = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     few = counts.where(F.col("times") * hot > total).select("word", _let(table, lambda t: merged(F.col("word"), t)).alias("ids"))
     slots: list[dict[str, list[int]]] = [{} for _ in range(MAPS)]
+
+    def put(word: bytes, ids: list[int]) -> None:
+        slots[zlib.crc32(word) % MAPS][word.decode()] = ids
+
+    for piece, rank in ranks(path).items():
+        try:
+            put(piece, [rank])
+        except UnicodeDecodeError:  # a part of a letter is no word
+            continue
     for r in few.collect():  # fewer than ``hot`` rows, by the condition
-        slots[zlib.crc32(r["word"].encode()) % MAPS][r["word"]] = r["ids"]
+        put(r["word"].encode(), r["ids"])
     return F.from_json(F.lit(json.dumps(slots)), T.ArrayType(T.MapType(T.StringType(), T.ArrayType(T.IntegerType()))))
 
 
@@ -150,7 +160,6 @@ def encode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     A null key keeps its row, and so does each text of a key that has several. Only the two columns are read.
     """
-    table = rank_table(path)
     known = df.sparkSession.sparkContext.broadcast(ranks(path))  # the vocabulary, whatever the data
 
     @F.pandas_udf("array<array<int>>")
@@ -159,7 +168,7 @@ def encode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
 
     docs = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     cut = docs.distinct().select("key", F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words"))
-    often = frequent(docs.select(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words")), table)
+    often = frequent(docs.select(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)).alias("words")), path)
     is_long = F.exists("words", lambda w: F.octet_length(w) > LONG)
     held = cut.withColumn("long", long_ids(F.when(is_long, F.transform("words", lambda w: F.when(F.octet_length(w) > LONG, w)))))
 
@@ -171,7 +180,7 @@ def encode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
         return F.flatten(F.transform("words", one))
 
     # each literal stands once in the plan
-    found = _let(F.struct(table.alias("ranks"), often.alias("often")), ids)
+    found = _let(F.struct(rank_table(path).alias("ranks"), often.alias("often")), ids)
     return held.select(F.col("key").alias(key), F.coalesce(found, F.array().cast("array<int>")).alias("ids"))
 
 
