@@ -46,7 +46,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = folder_for(spark, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of :func:`materialise` as soon as all that needs them is written, so the folder holds less at once."""
+    gone = {t._scratch_path for t in tables}
+    for spark, path in [x for x in _written if x[1] in gone]:
+        _delete(spark, path)
+        _written.remove((spark, path))
 
 
 @contextmanager
@@ -62,10 +72,13 @@ def scope() -> Iterator[None]:
 def clear(keep: int = 0) -> None:
     """Remove what :func:`materialise` wrote, but for the first ``keep`` tables; harmless at any time."""
     while len(_written) > keep:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone; the folder is the cluster's to clean then
-            pass
+        _delete(*_written.pop())
+
+
+def _delete(spark: object, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may be gone; the folder is the cluster's to clean then
+        pass

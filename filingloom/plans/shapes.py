@@ -305,6 +305,22 @@ ORACLE["q_packing"] = _packing_sql(51, 51)
 ORACLE["q_packing_overlap"] = _packing_sql(51, 39)
 
 
+def q_packing_reviews(spark, sf):
+    """Real texts, sentence by sentence, in chunks of 32 tokens."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.lit(1).alias("seq"), F.lit("Text").alias("block_type"), F.lit(1).alias("page"), F.col("text").alias("content"), F.lit(None).cast("array<string>").alias("element_ids"))
+    cols = chunks.chunk_columns(chunks.chunk(d, ["doc_id"], size=32, overlap=0))
+    return cols.select("doc_id", F.col("index").cast("long").alias("index"), "content", F.col("num_tokens").cast("long").alias("num_tokens"))
+
+
+_BLANK = "[\\t\\n\\x0b\\x0c\\r\\x{85}\\p{Z}]"
+ORACLE["q_packing_reviews"] = f"""WITH RECURSIVE p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?]){_BLANK}+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM documents WHERE text IS NOT NULL),
+  u AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(ps), '^{_BLANK}+', ''), '{_BLANK}+$', '') AS s, generate_subscripts(ps, 1) AS k FROM p),
+  s AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, greatest(1, length(s) // 4) AS n FROM u WHERE s <> ''),
+  r AS (SELECT doc_id, i, 0::BIGINT AS c, n AS load FROM s WHERE i = 1 UNION ALL
+    SELECT s.doc_id, s.i, CASE WHEN r.load + s.n > 32 THEN r.c + 1 ELSE r.c END, CASE WHEN r.load + s.n > 32 THEN s.n ELSE r.load + s.n END FROM r JOIN s ON s.doc_id = r.doc_id AND s.i = r.i + 1)
+  SELECT doc_id, c AS index, content, greatest(1, length(content) // 4)::BIGINT AS num_tokens FROM (SELECT r.doc_id, r.c, string_agg(s.s, ' ' ORDER BY s.i) AS content FROM r JOIN s USING (doc_id, i) GROUP BY r.doc_id, r.c)"""
+
+
 def q_table_context(spark, sf):
     """A table that doesn't fit opens a chunk with its heading and the texts between; what it leaves ends the one before."""
     p = spark.read.parquet(f"{sf}/part.parquet").selectExpr("cast(p_partkey as string) AS doc_id", "p_name")
