@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingloom.llm.canonical import consistent
-from filingloom.plans.scratch import materialise
+from filingloom.plans.scratch import discard, materialise
 
 MIN_WORDS, RUN, SIMILARITY = 30, 3, 0.6
 #: Similar sets share this many tokens of their prefixes at least, or all they need to share.
@@ -370,8 +370,10 @@ def near_pairs(df: DataFrame, similarity: float = SIMILARITY, min_words: int = M
     prep = materialise(prepared(df, min_words), "near-records")
     once = prep.groupBy("cls").agg(F.first("sh").alias("sh")).withColumn("rec", F.monotonically_increasing_id())
     classes = materialise(once, "near-classes")  # written, as a number must not change if an executor is lost
+    members = materialise(prep.select("tbl", "id", "txt", "cls").distinct(), "near-members")
+    discard(prep)
     links = similar_classes(classes, similarity)
-    members = prep.select("tbl", "id", "txt", "cls").distinct()
+    discard(classes)
     # the copies of a text are counted where they are before they meet, so a text of a third of all rows does no harm
     texts = materialise(members.groupBy("txt", "cls", "tbl").agg(F.count("*").alias("size"), F.min("id").alias("least")), "near-texts")
     side = {c: texts.select(*[F.col(x).alias(f"{x}_{c}") for x in ("cls", "txt", "size", "least")]) for c in "ab"}
