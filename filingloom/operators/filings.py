@@ -134,9 +134,9 @@ def to_markdown(pages: DataFrame) -> DataFrame:
 
 
 def to_elements(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, seq, id, content, kind, page_start, page_end, start_offset, end_offset, tags, note, note_title)"""
+    """(doc_id, page, seq, id, content, kind, page_start, page_end, start_offset, end_offset, tags, note, note_title, char_count)"""
     rows = pages.select("doc_id", F.col("number").alias("page"), F.explode("elements").alias("e"))
-    return rows.select("doc_id", "page", "e.seq", "e.id", "e.content", "e.kind", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "e.start_offset", "e.end_offset", "e.tags", "e.note", "e.note_title")
+    return rows.select("doc_id", "page", "e.seq", "e.id", "e.content", "e.kind", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "e.start_offset", "e.end_offset", "e.tags", "e.note", "e.note_title", F.length("e.content").alias("char_count"))
 
 
 def page_notes(elements_df: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def q_markdown(spark, sf):
 
 
 def q_parsed_elements(spark, sf):
-    return filings.to_elements(parsed(spark, sf)).select("doc_id", "page", "seq", "id", "kind", "content", "start_offset", "end_offset")
+    return filings.to_elements(parsed(spark, sf)).select("doc_id", "page", "seq", "id", "kind", "content", "start_offset", "end_offset", "char_count")
 
 
 def q_retention(spark, sf):

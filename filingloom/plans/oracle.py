@@ -131,7 +131,7 @@ ORACLE = {
     "q_parsed_pages": f"SELECT doc_id, 1 AS number, content, NULL::INT AS display_page FROM {_PARSED}",
     "q_markdown": f"SELECT doc_id, content AS markdown FROM {_PARSED}",
     "q_parsed_elements": f"""SELECT doc_id, 1 AS page, 0 AS seq, 'fl-p1-t0-' || substr(sha1(lower(regexp_replace(content, '{WS}+', ' ', 'g'))), 1, 8) AS id, 'text' AS kind, content,
-      0 AS start_offset, length(content)::INT AS end_offset FROM {_PARSED}""",
+      0 AS start_offset, length(content)::INT AS end_offset, length(content)::INT AS char_count FROM {_PARSED}""",
     "q_retention": f"SELECT doc_id, length(html)::BIGINT AS input_chars, length(content)::BIGINT AS output_chars, length(content) / length(html) AS retention FROM {_PARSED}",
     "q_highlight": f"""SELECT doc_id, (length(html) + length('<style>[data-element="' || doc_id || '"], [id="' || doc_id || '"] {{ background-color: #ffe58f; outline: 2px solid #d48806; }}</style>')
       + length('<script>document.querySelector(' || chr(39) || '[data-element="' || doc_id || '"], [id="' || doc_id || '"]' || chr(39) || ').scrollIntoView();</script>'))::BIGINT AS chars, true AS in_order FROM {_PARSED}""",

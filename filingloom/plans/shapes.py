@@ -412,6 +412,25 @@ def q_exports(spark, sf):
 ORACLE["q_exports"] = """SELECT n_name AS doc_id, '{"number":' || n_nationkey || ',"content":"' || n_name || ' ' || repeat('word  ', 40) || '"}' AS json, substr(n_name || ' ' || repeat('word ', 40), 1, 50) || '...' AS preview FROM nation"""
 
 
+def q_labels(spark, sf):
+    """Elements, pages, sections and chunks in a line each, for display."""
+    e = spark.read.parquet(f"{sf}/elements.parquet").select("id", "kind", "page_start", "page_end", "content").where("content IS NOT NULL").distinct()
+    p = spark.read.parquet(f"{sf}/doc_pages.parquet").selectExpr("doc_id", "number", "display_page", "content", "greatest(1, length(content) div 4) AS tokens").distinct()
+    s = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("concat('ITEM ', n_nationkey) AS item", "n_name AS item_title", "n_regionkey AS start_page", "n_nationkey AS end_page", "7 AS tokens")
+    c = spark.read.parquet(f"{sf}/nation.parquet").selectExpr("n_nationkey AS index", "n_regionkey AS start_page", "n_nationkey AS end_page", "if(n_nationkey = 3, NULL, struct(n_regionkey AS start, n_nationkey AS end)) AS display_page_range", "array(1, 2) AS blocks", "9 AS num_tokens")
+    return e.select(F.col("id").alias("key"), readers.element_label().alias("label")).unionByName(p.select(F.concat("doc_id", F.lit("#"), F.col("number").cast("string")).alias("key"), readers.page_label().alias("label"))).unionByName(
+        s.select(F.col("item_title").alias("key"), readers.section_label().alias("label"))
+    ).unionByName(c.select(F.concat(F.lit("chunk "), F.col("index").cast("string")).alias("key"), readers.chunk_label().alias("label")))
+
+
+ORACLE["q_labels"] = """SELECT id AS key, 'Element(id=''' || id || ''', kind=''' || kind || ''', p' || CASE WHEN page_start = page_end THEN page_start::VARCHAR ELSE page_start || '-' || page_end END || ', chars=' || length(content) || ', preview=''' || replace(substr(content, 1, 80), chr(10), ' ') || '...'')' AS label
+    FROM (SELECT DISTINCT id, kind, page_start, page_end, content FROM elements WHERE content IS NOT NULL)
+  UNION ALL SELECT doc_id || '#' || number, 'Page(number=' || number || CASE WHEN display_page > 0 THEN ', display_page=' || display_page ELSE '' END || ', tokens=' || greatest(1, length(content) // 4) || ', preview=''' || replace(substr(content, 1, 100), chr(10), ' ') || '...'')' FROM (SELECT DISTINCT doc_id, number, display_page, content FROM doc_pages)
+  UNION ALL SELECT n_name, 'Section(item=''ITEM ' || n_nationkey || ''', title=''' || n_name || ''', pages=' || n_regionkey || '-' || n_nationkey || ', tokens=7)' FROM nation
+  UNION ALL SELECT 'chunk ' || n_nationkey, 'Chunk[' || n_nationkey || '] (pages=' || CASE WHEN n_regionkey = n_nationkey THEN n_nationkey::VARCHAR ELSE n_regionkey || '-' || n_nationkey END ||
+    CASE WHEN n_nationkey = 3 THEN '' WHEN n_regionkey = n_nationkey THEN ', display_page=' || n_nationkey ELSE ', display_pages=' || n_regionkey || '-' || n_nationkey END || ', blocks=2, tokens=9)' FROM nation"""
+
+
 def q_nested(spark, sf):
     """Nations as an ordered array on their regions."""
     r = spark.read.parquet(f"{sf}/region.parquet").selectExpr("r_regionkey AS k", "r_name")

@@ -119,6 +119,37 @@ def preview(content: Column, length: int = 200) -> Column:
     return F.when(F.length(flat) > length, F.concat(F.substring(flat, 1, length), F.lit("..."))).otherwise(flat)
 
 
+def _range(first: str, last: str) -> Column:
+    return F.when(F.col(first) == F.col(last), F.col(first).cast("string")).otherwise(F.concat(F.col(first).cast("string"), F.lit("-"), F.col(last).cast("string")))
+
+
+def _start(content: str, length: int) -> Column:
+    return F.concat(F.translate(F.substring(content, 1, length), "\n", " "), F.lit("..."))
+
+
+def element_label() -> Column:
+    """One line for a row of elements, for display."""
+    return F.format_string("Element(id='%s', kind='%s', p%s, chars=%d, preview='%s')", "id", "kind", _range("page_start", "page_end"), F.length("content"), _start("content", 80))
+
+
+def page_label() -> Column:
+    """One line for a row of pages (number, content, display_page, tokens)."""
+    shown = F.when(F.col("display_page") > 0, F.format_string(", display_page=%d", "display_page")).otherwise("")
+    return F.format_string("Page(number=%d%s, tokens=%d, preview='%s')", "number", shown, "tokens", _start("content", 100))
+
+
+def section_label() -> Column:
+    """One line for a row of sections."""
+    return F.format_string("Section(item='%s', title='%s', pages=%d-%d, tokens=%d)", "item", "item_title", "start_page", "end_page", "tokens")
+
+
+def chunk_label() -> Column:
+    """One line for a row of chunks with their columns and display pages."""
+    a, b = F.col("display_page_range.start"), F.col("display_page_range.end")
+    shown = F.when(a == b, F.format_string(", display_page=%d", a)).when(a.isNotNull(), F.format_string(", display_pages=%d-%d", a, b)).otherwise("")
+    return F.format_string("Chunk[%d] (pages=%s%s, blocks=%d, tokens=%d)", "index", _range("start_page", "end_page"), shown, F.size("blocks"), "num_tokens")
+
+
 def nest(parents: DataFrame, children: DataFrame, on: list[str], name: str, order: str) -> DataFrame:
     """Children as an ordered array of structs on their parents; the empty array where there is none."""
     cols = [c for c in children.columns if c not in on and c != order]
