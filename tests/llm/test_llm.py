@@ -1,6 +1,7 @@
 """Each operator against brute force or an exact round trip, with nulls, empty and long texts, ties, repeats and empty tables."""
 
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -214,6 +215,13 @@ def test_consistent_form_is_stable(text):
     assert canonical.consistent_form(once) == once
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from("aeoAOsd\u0301\u0300\u0302\u0323\u0327\u0345\u0307\u0338éếẹ\u01d6각\u1100\u1161\u11a8\u09c7\u09be ."), max_size=12))
+def test_transducer_composes_as_unicode_does(text):
+    """Without widths, blanks, invisible characters and borrowed letters the form is the composed one of Unicode."""
+    assert canonical.consistent_form(text) == unicodedata.normalize("NFC", text)
+
+
 def test_changed_rows(spark):
     rows = [("1", "plain"), ("2", "pаyment"), ("2", "pаyment"), ("3", None), (None, "ﬁ"), ("4", "é" * 5), ("5", "x" * 100_000 + "​"), ("6", "Привет мир")]
     df = spark.createDataFrame(rows, "id string, content string").withColumn("row_key", F.lit("clash"))
