@@ -218,10 +218,9 @@ def q_chunk_elements(spark, sf):
 
 def q_chunk_sections(spark, sf):
     """Chunks of sections, headed by their item's title."""
-    found = sections.section_pages(typed_pages(spark, sf))
-    made = chunks.chunk(chunks.text_blocks(found, ["doc_id", "section"]), ["doc_id", "section"])
-    heads = sections.sections(found).select("doc_id", "section", F.concat_ws(" ", "item", "item_title").alias("title"))
-    return chunks.chunk_columns(made).join(heads, ["doc_id", "section"]).select("doc_id", "section", "index", "title", "content", "num_tokens")
+    keys = ["doc_id", "section", "title"]  # the title is one for a section, so it is carried as a part of the key
+    found = sections.section_pages(typed_pages(spark, sf)).withColumn("title", F.concat_ws(" ", "item", "item_title"))
+    return chunks.chunk_columns(chunks.chunk(chunks.text_blocks(found, keys), keys)).select("doc_id", "section", "index", "title", "content", "num_tokens")
 
 
 def q_chunk_blocks(spark, sf):
