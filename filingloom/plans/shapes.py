@@ -18,8 +18,8 @@ from filingloom.streaming import pages as streaming
 
 
 def made(spark: SparkSession, sf: str, table: str, key: str, html: str) -> DataFrame:
-    """(doc_id, html): a document for each row of a table."""
-    return spark.read.parquet(f"{sf}/{table}.parquet").selectExpr(f"cast({key} as string) AS doc_id", f"{html} AS html")
+    """(doc_id, html): a document for each row of a table, spread over tasks, as a small table may make very many."""
+    return filings.spread(spark.read.parquet(f"{sf}/{table}.parquet"), key).selectExpr(f"cast({key} as string) AS doc_id", f"{html} AS html")
 
 
 def contents(spark: SparkSession, sf: str, table: str, key: str, html: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from filingloom.functions import register, text
 from filingloom.operators import annotate, chunks, elements, filings, positioned, render, sections, tables
-from filingloom.plans import dimensions
+from filingloom.plans import dimensions, shapes
 from filingloom.sources import readers
 from filingloom.streaming import pages as streaming
 
@@ -443,3 +443,11 @@ def test_streaming(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.select("doc_id", "number").distinct().count() > 10
+
+
+def test_documents_of_a_small_table_are_parsed_in_many_tasks(spark):
+    """A few bytes of a table make very many documents, which one task would parse one after the other."""
+    made = shapes.q_element_merge(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() >= 4
+    sizes = made.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 4 and max(r["count"] for r in sizes) < 0.5 * made.count()
