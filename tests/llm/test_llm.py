@@ -351,6 +351,28 @@ def test_replaced_values_must_be_consistent(spark):
     assert {tuple(r) for r in leaks.leaks(d, e).collect()} >= {(5, 9)}
 
 
+def test_no_name_and_no_window_is_left_out(spark, monkeypatch):
+    """More names than texts are typed by are slots all the same, and words of a window's own needn't stand side by side."""
+    item = "later that day Umbra sold nine red lamps to Kelu and left for Gorby with the old mule of Dax"
+    apart = "he met Alu and saw Belu but not Celu or even Delu again"  # no three words of its own side by side
+    renamed = [item.replace(x, "Vorn") for x in ("Umbra", "Kelu", "Gorby")] + [apart.replace("Belu", "Zork").replace("Delu", "Mirk")]
+    d = spark.createDataFrame(list(enumerate(renamed)), "doc_id long, text string")
+    e = spark.createDataFrame([(7, item, None), (8, apart, None)], "eval_id long, passage string, question string")
+    want = {(0, 7), (1, 7), (2, 7), (3, 8)}
+    assert {(r["doc_id"], r["eval_id"]) for r in leaks.reparameterised(d, e).collect()} == want
+    monkeypatch.setattr(leaks, "NAMES", 1)
+    assert {(r["doc_id"], r["eval_id"]) for r in leaks.reparameterised(d, e).collect()} == want
+    same = spark.createDataFrame([(1, item.upper()), (2, apart)], "doc_id long, text string")
+    assert {tuple(r) for r in leaks.leaks(same, e).collect()} == {(1, 7), (2, 8)}
+
+
+def test_every_window_has_an_anchor():
+    forms = leaks.anchor_forms()
+    for mask in range(1 << leaks.WINDOW):
+        own = {j for j in range(leaks.WINDOW) if mask >> j & 1}
+        assert len(own) < leaks.OWN or any({o + p for p in f} <= own for f in forms for o in range(leaks.WINDOW - f[-1]))
+
+
 def test_items_in_slices(spark, monkeypatch):
     want = {tuple(r) for r in queries.p7_found(spark, SF).collect()}
     monkeypatch.setattr(leaks, "WINDOWS", 3000)
