@@ -456,6 +456,17 @@ def test_split_sentences(spark):
     assert sentences.split_sentences(df.limit(0), "doc_id", "text").collect() == []
 
 
+def test_the_model_is_fitted_on_every_text(spark):
+    """Parted in any way, all texts give the model that one place makes of them; none is left to a sample."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").select("text", F.lower(F.substring("lang", 1, 2)).alias("lang")).distinct()
+    more = spark.range(9000).select(F.concat(F.lit("We met Dr. Qi"), "id", F.lit(" at no. "), "id", F.lit(". It is a lamp")).alias("text"), F.lit("en").alias("lang"))
+    texts = rows.unionByName(more)
+    want = sentences._packed(sentences.fit([tuple(r) for r in texts.collect()]))
+    assert sentences._packed(sentences.fit_all(texts)) == want
+    assert sentences._packed(sentences.fit_all(texts.unionByName(rows).repartition(7))) == want
+    assert want[0][1]["no", "."] == "A" and sentences.fit_all(texts).tri["<s>", "<s>en", "we"] > 0.9 * 9000**0.75
+
+
 def test_every_problem_has_its_query():
     names = queries.queries()
     assert {f"p{n}_found" for n in (1, 2, 3, 4, 5, 7, 8)} | {"p6_ids"} <= set(names)
