@@ -35,8 +35,8 @@ MIN_WORDS, RUN, SIMILARITY = 30, 3, 0.6
 MEET = 2
 #: Blocks of a record are 4 to the power of its level and one; records of more than LARGE times 4 to that power have more.
 LARGE, LEVELS = 1024, 6
-#: A token is common if it occurs so many times as often as the mean of the cells, and more than MANY times.
-OFTEN, MANY = 32, 64
+#: Tokens are put in order by their counts if these are so many times the mean of the cells, and more than MANY.
+OFTEN, MANY = 2, 8
 #: Cells that the occurrences of all tokens are counted in, and cells of one row of counts.
 CELLS, ROW = 1 << 20, 1 << 14
 #: Groups of a point, planes of its counts, and children of a node.
@@ -186,6 +186,15 @@ def levels_of(n: np.ndarray, level: int, similarity: float) -> np.ndarray:
     return (n >= math.floor(similarity * low)) & (n < high)
 
 
+def ranks(counts: np.ndarray) -> np.ndarray:
+    """The place of each cell's tokens in the order of prefixes, seldom ones first: two to a power of two of the counts.
+
+    The mean of the cells grows with the data, and so does what can't be told apart from it. The nearer to it tokens are put
+    in order, the fewer sets meet under those that stand in very many, which would grow with the square of the data.
+    """
+    return np.where(counts > OFTEN * counts.mean() + MANY, 2 * np.log2(np.maximum(counts, 1)), 0).clip(0, 63).astype(np.uint8)
+
+
 def postings(classes: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
     """(task, n, blob): the sets of each record under the tokens of which two similar ones share some, many in a row.
 
@@ -193,7 +202,7 @@ def postings(classes: DataFrame, counts: np.ndarray, similarity: float) -> DataF
     any two of them meet in one tile, and no task gets them all.
     """
     mean = counts.mean()
-    rank = np.where(counts > OFTEN * mean + MANY, np.log2(np.maximum(counts, 1)).astype(np.int64), 0).astype(np.uint8)
+    rank = ranks(counts)
     tiles = np.ceil(np.maximum(0, counts - 2 * mean) / SPREAD).clip(1, 65_535).astype(np.uint16)
     tasks = max(1, math.ceil(counts.sum() * (1 - similarity + 0.1) / TASK))
     sent = classes.sparkSession.sparkContext.broadcast((rank, tiles))  # 3 MB, whatever the data

@@ -129,6 +129,14 @@ def test_tree_keeps_every_similar_pair(seed, similarity, level):
     assert want <= {p for p, k in times.items() if k >= nearcopies.MEET}
 
 
+def test_seldom_tokens_come_first_however_much_there_is():
+    """Tokens of a few times the mean stay behind seldom ones where the mean is large, as in much data."""
+    counts = np.full(nearcopies.CELLS, 500)
+    counts[:6] = 3, 1500, 2500, 5000, 15_000, 10**8
+    rank = nearcopies.ranks(counts)
+    assert rank[0] == rank[6] == 0 and (np.diff(rank[1:6].astype(int)) > 0).all() and rank[1] > 0 and rank[5] < 64
+
+
 # 2
 
 
